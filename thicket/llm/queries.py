@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import mixing, packing, quantiles, tokens
+from thicket.llm import mixing, packing, quantiles, subjects, tokens
 from thicket.session import table
 
 #: Rank error of the digests of request durations, as a share of the requests of a url.
@@ -88,6 +88,28 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).queue()
 
 
+# --- 8: subject area of each document -------------------------------------------------------
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = subjects.train(docs, table(spark, d, "labels"), table(spark, d, "subjects"))
+    return subjects.assign(docs, model)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters per subject; a text about two subjects counts for either by its share of evidence."""
+    size = table(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars"))
+    got = _assigned(spark, d).join(size, "doc_id")
+    return got.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.round(F.sum(F.col("share") * F.col("n_chars"))).cast("long").alias("n_chars")
+    )
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_percentiles": p4_percentiles,
@@ -97,6 +119,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_mix": p7_mix,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 SQL = {
