@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.operators import nested, orphans, skew
+from thicket.operators import nested, orphans, packed, skew
 from thicket.session import table
 
 #: Share of all rows from which a key counts as heavy.
@@ -64,6 +64,33 @@ refs AS (
 )
 """
 
+# --- 2: several values packed in one field --------------------------------------------------
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    chunks, endpoints = table(spark, d, "chunks"), table(spark, d, "api_endpoints")
+    return packed.split_packed(
+        [
+            (chunks, "chunks", "id", "annotations", True),
+            (chunks, "chunks", "id", "parameters", False),  # type and name stay together
+            (endpoints, "api_endpoints", "id", "table_names", True),
+        ]
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d)
+
+
+def p2_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many fields hold each value, and at how many places at most."""
+    return (
+        _values(spark, d)
+        .groupBy("table_name", "column_name", "item")
+        .agg(F.count(F.lit(1)).alias("n_uses"), F.max("pos").alias("last_pos"))
+    )
+
+
 # --- 3: a few keys holding most records -----------------------------------------------------
 
 
@@ -122,6 +149,8 @@ def p5_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_items": p2_items,
     "p3_found": p3_found,
     "p3_per_key": p3_per_key,
     "p5_found": p5_found,
