@@ -200,13 +200,13 @@ def split_packed(fields: Sequence[tuple[DataFrame, str, str, str, bool]]) -> Dat
         rows = rows.unionByName(f)
     parsed = rows.mapInArrow(_parser([f[4] for f in fields]), _PARSED)
     chosen = cheapest(parsed, max(1, n_fields))
-    plain, several = parsed.where("n_parses = 1"), parsed.where("n_parses > 1").join(chosen, ["k1", "k2", "parse"], "left_semi")
+    # one pass for decided and undecided fields alike; those with a single parse meet no partner
+    kept = parsed.join(chosen.withColumn("kept", F.lit(True)), ["k1", "k2", "parse"], "left").where(
+        (F.col("n_parses") == 1) | F.col("kept")
+    )
     names = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for _, t, _, c, _ in fields])
-    keep = ["field", "row_id", "items"]
     return (
-        plain.select(*keep)
-        .unionByName(several.select(*keep))
-        .select(F.element_at(names, F.col("field") + 1).alias("n"), "row_id", F.posexplode("items").alias("i", "item"))
+        kept.select(F.element_at(names, F.col("field") + 1).alias("n"), "row_id", F.posexplode("items").alias("i", "item"))
         .select(F.col("n.t").alias("table_name"), F.col("n.c").alias("column_name"), "row_id", (F.col("i") + 1).alias("pos"), "item")
     )
 
