@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from math import log2
 
 import pandas as pd
@@ -109,19 +110,19 @@ def _unquote(item: str, mode: str) -> str:
     return inner.replace("\\" + q, q) if mode == BACKSLASH else inner.replace(q + q, q) if q == item[0] else inner
 
 
+@lru_cache(maxsize=20_000)
 def parses(text: str, blanks_divide: bool) -> list[tuple[int, int, tuple[str, ...]]]:
     """Distinct parses of a field as (delimiters and quotes left as text, bits of the dialect, values), the first the cheapest of its values."""
     if not (body := text.strip()):
         return [(0, 0, ())]
     if not _SPECIAL.search(body):
         return [(0, 0, (body,))]
-    modes = [DOUBLED] + [BACKSLASH] * ("\\" in body)
-    if all(scan(body, mode)[3] for mode in modes):
-        modes.append(UNQUOTED)
+    scans = {mode: scan(body, mode) for mode in [DOUBLED] + [BACKSLASH] * ("\\" in body)}
+    if all(x[3] for x in scans.values()):
+        scans[UNQUOTED] = scan(body, UNQUOTED)
     best: dict[tuple[str, ...], tuple[int, int]] = {}
-    for mode in modes:
+    for mode, (found, brackets, quotes, loose) in scans.items():
         part = body
-        found, brackets, quotes, loose = scan(part, mode)
         if len(brackets) == 1 and brackets[0] == (0, len(part) - 1):
             part = part[1:-1]
             found, brackets, quotes, loose = scan(part, mode)
