@@ -93,13 +93,27 @@ def is_constructor(full: Column) -> Column:
     return full.contains(":<init>(") | full.contains(":<clinit>(")
 
 
+#: What :func:`is_boilerplate` looks for, as one pattern: generated classes, stub plumbing,
+#: constructors, object and generated methods, accessors.
+BOILERPLATE = "|".join(
+    [
+        r"^(?:io\.grpc\.|com\.google\.protobuf\.)",
+        r"\.(?:api\.client\.model|api\.grpc\.model|proto\.)[^:]*(?::|$)",
+        r"(?:\$Builder|OrBuilder|\$MethodHandlers|\$AsyncService)(?::|$)",
+        r"\$[^.$:]*(?:DescriptorSupplier|ImplBase)(?::|$)",
+        r"(?:^|\.)[^.$:]*Grpc\d*(?::|$)",
+        r"\$[^.$:]*Stub:(?:getChannel|getCallOptions|with[^(:]*)(?:\(|$)",
+        r":<(?:cl)?init>\(",
+        rf":(?:equals|hashCode|toString|{'|'.join(GENERATED_METHODS)})(?:\(|$)",
+        r":(?:get|is)[^(:]*\(\)",
+        r":set[^(:]*\([^,()]+\)",
+    ]
+)
+
+
 def is_boilerplate(full: Column) -> Column:
     """Constructors, object methods, true accessors and generated methods; null is none."""
-    name, p = sig.method_name(full), sig.params(full)
-    getter = (p == "") & (name.startswith("get") | name.startswith("is"))
-    setter = (p != "") & ~p.contains(",") & name.startswith("set")
-    hit = is_constructor(full) | name.isin("equals", "hashCode", "toString") | is_generated_method(full) | getter | setter
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(full.rlike(BOILERPLATE), F.lit(False))
 
 
 def is_data_carrier(cls: Column) -> Column:
