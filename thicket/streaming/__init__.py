@@ -1 +1 @@
-
+"""Structured Streaming versions of the capture pipelines."""
