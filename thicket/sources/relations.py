@@ -14,7 +14,7 @@ def read_relation(spark: SparkSession, path: str, columns: Sequence[tuple[str, s
     Rows with fewer than ``least`` columns (default: all) are dropped, missing ones beyond that are null, and
     values that don't fit their type become null. A missing file is an empty relation.
     """
-    schema = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns))
+    schema = StructType.fromDDL(", ".join(f"`{n}` {'string' if t == 'base64' else t}" for n, t in columns))
     jvm = spark.sparkContext._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)
     if not found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found):
