@@ -93,7 +93,7 @@ def test_closed_sessions_drop_late_rows(spark, tmp_path):
     at = lambda mi: datetime(2025, 1, 1, mi // 60, mi % 60)
     schema = "u int, ts timestamp"
     src = str(tmp_path / "events")
-    for rows in [(1, at(0)), (1, at(5))], [(1, at(200))], [(1, at(6)), (2, at(201))], [(3, at(400))]:
+    for rows in [(1, at(0)), (1, at(5))], [(1, at(200))], [(2, at(205))], [(1, at(6)), (2, at(206))], [(3, at(400))]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
     events = windows.closed_sessions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), "ts", "u", "10 minutes", "5 minutes")
     got = windows.finish(events, "append").where("u = 1 and n > 1").collect()
