@@ -27,6 +27,8 @@ MANTISSA = 7
 LEVELS = 13
 UNIVERSE = 1 << LEVELS
 LARGEST = (1 << 62) - 1
+#: Bucket of the largest value; the leaves beyond stay empty.
+LAST = 54 * (1 << MANTISSA) + 2 * (1 << MANTISSA) - 1
 
 
 def bucket(value: Column) -> Column:
@@ -146,7 +148,7 @@ def percentiles(digests: DataFrame, by: Sequence[str], at: dict[str, float], err
     """
     depth = F.length(F.bin("node")) - 1
     span = F.lit(LEVELS) - depth
-    last = F.call_function("shiftleft", F.col("node") + 1, span) - 1 - F.lit(UNIVERSE)
+    last = F.least(F.call_function("shiftleft", F.col("node") + 1, span) - 1 - F.lit(UNIVERSE), F.lit(LAST))
     nodes = digests.withColumn("last", last)
     up = Window.partitionBy(*by).orderBy(F.col("last"), F.col("node").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
