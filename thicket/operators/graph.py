@@ -32,34 +32,44 @@ def arrows(edges: DataFrame, upward: bool = False) -> DataFrame:
     return edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null").distinct()
 
 
-def _keyed(steps: DataFrame, by: str) -> DataFrame:
-    """The steps written once, partitioned by the end they are entered from, for use in every level."""
-    return cut_lineage(steps.repartition(by))
+#: Rows up to which a counted node set is sent to all executors; larger ones are joined by shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    """``df``, known to have ``n`` rows, marked for broadcast where that is few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def reach(steps: DataFrame, starts: DataFrame, max_depth: int | None = None, stops: DataFrame | None = None) -> DataFrame:
     """(node, depth): all nodes within ``max_depth`` steps (none: any) and their least distance.
 
     ``steps`` is (src, dst), ``starts`` (node). Nodes of ``stops`` (node) are
-    reached but not left, starts excepted. Runs one action per level.
+    reached but not left, starts excepted. Runs one action per level. A level
+    whose nodes are few meets the steps by broadcast, so that a hub's steps stay where
+    they are; beyond that, adaptive execution splits a hub's partition.
     """
     if max_depth is None or max_depth > 1:
-        steps = _keyed(steps, "src")
+        steps = cut_lineage(steps)
     frontier = cut_lineage(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+    total = n = frontier.count()
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        leave = frontier if stops is None or depth == 1 else frontier.join(stops.select("node"), "node", "left_anti")
-        new = leave.select(F.col("node").alias("src")).join(steps, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(frontier)
+        leave = frontier.select(F.col("node").alias("src"))
+        if stops is not None and depth > 1:
+            leave = leave.join(stops.select(F.col("node").alias("src")), "src", "left_anti")
+        new = steps.join(_sized(leave, n), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = cut_lineage(new.join(_sized(seen.select("node"), total), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen, n = seen.unionByName(frontier), frontier.count()
+        total += n
     return seen
 
 
 def tree_edges(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """Edges of ``edges`` (caller, ..) whose caller is reached in fewer than ``max_depth`` steps, with that ``depth``."""
     near = reach(arrows(edges), starts, max_depth - 1).withColumnRenamed("node", "caller")
-    return edges.join(near, "caller")
+    return edges.join(_sized(near, near.count()), "caller")
 
 
 def assemble_tree(edges: DataFrame, start: str, max_depth: int, cap: int = 8000, order: Sequence[str] = ("call_id",)) -> list[dict]:
@@ -100,10 +110,10 @@ def simple_paths(steps: DataFrame, starts: DataFrame, max_depth: int, max_rows:
     Their number can be exponential in the depth; with ``max_rows`` the paths of least order are kept.
     """
     level = starts.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    level, steps = cut_lineage(level), _keyed(steps, "src")
+    level, steps = cut_lineage(level), cut_lineage(steps)
     out = level
     for depth in range(1, max_depth + 1):
-        nxt = level.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        nxt = steps.join(_sized(level, level.count()), F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         nxt = nxt.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dst")).alias("path"))
         level = cut_lineage(nxt if max_rows is None else nxt.orderBy("path").limit(max_rows))
         out = out.unionByName(level)
@@ -141,13 +151,14 @@ def propagate(steps: DataFrame, own: DataFrame, hops: int) -> DataFrame:
     ``own`` is (node, mark). Every node gets every mark in reach; nodes with a
     mark of their own pass others on but are not in the result.
     """
-    back = _keyed(steps.select(F.col("src").alias("to"), F.col("dst").alias("node")), "node")
-    level = cut_lineage(own.select("node", "mark").distinct())
-    seen = level
+    back = cut_lineage(steps.select(F.col("src").alias("to"), F.col("dst").alias("node")))
+    level = cut_lineage(own.select("node", "mark").where("node is not null").distinct())
+    seen, n = level, level.count()
     for _ in range(hops):
-        new = level.join(back, "node").select(F.col("to").alias("node"), "mark").distinct()
+        new = back.join(_sized(level, n), "node").select(F.col("to").alias("node"), "mark").distinct()
         level = cut_lineage(new.join(seen, ["node", "mark"], "left_anti"))
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             break
         seen = seen.unionByName(level)
     return seen.join(own.select("node"), "node", "left_anti")
