@@ -1 +1 @@
-
+"""The queries, by kind."""
