@@ -146,6 +146,46 @@ def p5_tables(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# SQL of problem 2: the divided parts are runs of quoted texts, brackets (nested up to four times) and other characters
+_QUOTED = r"""\"(?:[^\"\\]|\\.|\"\")*\"|''(?:[^''\\]|\\.)*''|`[^`]*`"""
+
+
+def _brackets(depth: int) -> str:
+    inner = f"{_brackets(depth - 1)}|" if depth else ""
+    return rf"""[\[({{<](?:{_QUOTED}|{inner}[^\[\](){{}}<>\"''`])*[\])}}>]"""
+
+
+def _items(column: str, blanks: bool) -> str:
+    parts = rf"""(?:{_QUOTED}|{_brackets(3)}|[^,;|\n\r\t，；、{" " if blanks else ""}\[\](){{}}<>\"''`])+"""
+    whole = f"regexp_full_match(trim({column}, E' \\t\\r\\n'), '(?s){_brackets(4)}')"
+    body = f"CASE WHEN {whole} THEN trim({column}, E' \\t\\r\\n')[2:-2] ELSE {column} END"
+    cut = "trim(x, E' \\t\\r\\n')"
+    plain = f"""CASE WHEN regexp_full_match({cut}, '(?s){_QUOTED}') THEN replace(replace({cut}[2:-2], '\\' || {cut}[1], {cut}[1]), {cut}[1] || {cut}[1], {cut}[1]) ELSE {cut} END"""
+    return f"list_filter(list_transform(regexp_extract_all({body}, '{parts}'), lambda x: {plain}), lambda y: y <> '')"
+
+
+def _split_sql(name: str, column: str, blanks: bool) -> str:
+    return f"""SELECT '{name}' AS table_name, '{column}' AS column_name, row_id, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS item
+FROM (SELECT id AS row_id, {_items(column, blanks)} AS v FROM {name} WHERE {column} IS NOT NULL)"""
+
+
+_P2 = " UNION ALL ".join(_split_sql(*x) for x in (("chunks", "annotations", True), ("chunks", "parameters", False), ("api_endpoints", "table_names", True)))
+
+# SQL of problem 5: one level after the other
+_OPENED = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') AND json_type({0} ->> '$') IN ('OBJECT', 'ARRAY') THEN ({0} ->> '$')::JSON ELSE {0} END"
+_P5 = f"""
+r AS (SELECT session_id, received_at, unnest(request_chain) AS r FROM request_chains),
+b AS (SELECT session_id, received_at, r.seq AS seq, 'request' AS side, r.request_body AS body FROM r UNION ALL SELECT session_id, received_at, r.seq, 'response', r.response_body FROM r),
+t AS (
+ SELECT session_id, received_at, seq, side, '$' AS path, '$' AS owner_path, false AS element, {_OPENED.format("body::JSON")} AS v FROM b WHERE json_valid(body)
+ UNION ALL
+ SELECT session_id, received_at, seq, side, x.path, x.owner, x.element, {_OPENED.format("x.v")} FROM (
+  SELECT session_id, received_at, seq, side, unnest(CASE json_type(v)
+    WHEN 'OBJECT' THEN list_transform(map_entries(v::MAP(VARCHAR, JSON)), lambda e: {{'path': path || '.' || e.key, 'owner': CASE WHEN element THEN path ELSE owner_path END, 'element': false, 'v': e.value}})
+    ELSE list_transform(v::JSON[], lambda c, i: {{'path': path || '[' || (i - 1) || ']', 'owner': owner_path, 'element': true, 'v': c}}) END) AS x
+  FROM t WHERE json_type(v) IN ('OBJECT', 'ARRAY'))),
+found AS (SELECT * FROM t WHERE element AND json_type(v) = 'OBJECT')"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -163,6 +203,11 @@ SQL = {
 SELECT table_name, period, count(*) AS n_references, count(*) FILTER (WHERE lost) AS n_orphans,
        round(count(*) FILTER (WHERE lost) / count(*), 6) AS orphan_share
 FROM all_refs GROUP BY ALL""",
+    "p2_found": _P2,
+    "p2_items": f"SELECT table_name, column_name, item, count(*) AS n_uses, max(pos) AS last_pos FROM ({_P2}) GROUP BY 1, 2, 3",
+    "p5_found": f"WITH RECURSIVE {_P5} SELECT DISTINCT session_id, seq, side, path, owner_path FROM found",
+    "p5_tables": f"""WITH RECURSIVE {_P5} SELECT side, regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS table_path, count(*) AS n_rows, count(*) FILTER (WHERE owner_path = '$') AS n_top,
+sum(len(json_keys(v))) AS n_fields FROM found GROUP BY 1, 2""",
     "p3_found": f"""
 SELECT 'repo_id' AS key_column, CAST(repo_id AS VARCHAR) AS key_value FROM static_field_usage
 WHERE repo_id IS NOT NULL GROUP BY repo_id HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM static_field_usage)
