@@ -76,9 +76,10 @@ def scan(text: str, mode: str) -> tuple[list[tuple[int, str]], list[tuple[int, i
     plain: set[int] = set()
     while True:
         found, brackets, quotes, loose, stack, pos = [], [], [], 0, [], 0
-        while m := _SPECIAL.search(text, pos):
+        for m in _SPECIAL.finditer(text):
             at, ch = m.start(), m.group()
-            pos = at + 1
+            if at < pos:  # inside quotes
+                continue
             if ch in QUOTES:
                 inside = ch == "'" and at and text[at - 1].isalnum()
                 end = -1 if mode == UNQUOTED or inside else _closing(text, at, mode)
@@ -104,7 +105,7 @@ def scan(text: str, mode: str) -> tuple[list[tuple[int, str]], list[tuple[int, i
 
 
 def _unquote(item: str, mode: str) -> str:
-    if mode == UNQUOTED or len(item) < 2 or item[0] not in QUOTES or _closing(item, 0, mode) != len(item) - 1:
+    if mode == UNQUOTED or len(item) < 2 or _closing(item, 0, mode) != len(item) - 1:
         return item
     q, inner = QUOTES[item[0]], item[1:-1]
     return inner.replace("\\" + q, q) if mode == BACKSLASH else inner.replace(q + q, q) if q == item[0] else inner
@@ -129,26 +130,29 @@ def parses(text: str, blanks_divide: bool) -> list[tuple[int, int, tuple[str, ..
         if not blanks_divide:
             found = [x for x in found if x[1] != "blank"]
         classes = list(dict.fromkeys(c for _, c in found))
+        n_found, n_quotes = len(found), len(quotes)
         if len(classes) <= 3:
             sets = [{c for b, c in enumerate(classes) if bits >> b & 1} for bits in range(2 ** len(classes))]
         else:
             sets = [set(classes), set(), *({*classes} - {c} for c in classes), *({c} for c in classes)]
         for chosen in sets:
-            cuts = [-1, *(p for p, c in found if c in chosen), len(part)]
-            items, left, at, near = [], loose, 0, 0
-            for a, b in zip(cuts, cuts[1:]):
-                raw = part[a + 1 : b]
-                item = raw.strip()
-                start = a + 1 + len(raw) - len(raw.lstrip())
-                while at < len(found) and found[at][0] < start:
-                    at += 1
-                while at < len(found) and found[at][0] < start + len(item):
-                    left += found[at][1] not in chosen
-                    at += 1
-                while near < len(quotes) and quotes[near][1] < start + len(item):  # quotes are to enclose a value
-                    left += quotes[near] != (start, start + len(item) - 1)
-                    near += 1
-                item = _unquote(item, mode)
+            cuts = [p for p, c in found if c in chosen]
+            strict = bool(quotes) or len(cuts) < len(found)  # else nothing can be left as text
+            items, left, at, near, a = [], loose, 0, 0, 0
+            for b in (*cuts, len(part)):
+                item = part[a:b].strip()
+                if item and strict:
+                    start = part.index(item[0], a)
+                    end = start + len(item)
+                    while at < n_found and found[at][0] < end:
+                        left += found[at][0] >= start and found[at][1] not in chosen
+                        at += 1
+                    while near < n_quotes and quotes[near][1] < end:  # quotes are to enclose a value
+                        left += quotes[near] != (start, end - 1)
+                        near += 1
+                a = b + 1
+                if item and item[0] in QUOTES:
+                    item = _unquote(item, mode)
                 if item:
                     items.append(item)
             cost = (left, 2 * len(chosen) + 2 * (mode != DOUBLED))
