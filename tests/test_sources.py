@@ -54,6 +54,30 @@ def test_properties_last_wins(spark, tmp_path):
     assert {r.config_key: r.config_value for r in got.collect()} == {"k": "3", "u": "http://h?x=y"}
 
 
+YAML = """# base
+server:
+  port: 8080   # main
+  "host name": 'a: b'
+spring:
+  datasource:
+    url: jdbc:x://h/db?a=1
+  profiles:
+    - dev
+    - "test"
+empty:
+top: 1
+"""
+
+
+def test_yaml(spark, tmp_path):
+    got = relations.flatten_yaml(YAML)
+    assert got == [("server.port", "8080"), ("server.host name", "a: b"), ("spring.datasource.url", "jdbc:x://h/db?a=1"), ("spring.profiles[0]", "dev"), ("spring.profiles[1]", "test"), ("top", "1")]
+    (tmp_path / "application.yml").write_text(YAML)
+    (tmp_path / "application-dev.yml").write_text("---\nserver:\n  port: 9090\n")
+    read = relations.read_yaml(spark, [str(tmp_path / "application.yml"), str(tmp_path / "application-dev.yml")])
+    assert {r.config_key: r.config_value for r in read.collect()} == dict(got) | {"server.port": "9090"}
+
+
 def test_curl(spark):
     texts = [
         "curl 'https://h.x/v1/a?b=1'",

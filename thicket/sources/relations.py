@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -65,6 +67,57 @@ def select_release(entries: DataFrame, runtime: int) -> DataFrame:
     return fit.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def flatten_yaml(text: str) -> list[tuple[str, str]]:
+    """(dotted key, value) of a YAML text of nested maps and lists of scalars, in order; list places follow as ``[i]``.
+
+    Comments, document marks and keys without a value of their own are left out; quotes around keys and values are removed.
+    """
+    out: list[tuple[str, str]] = []
+    path: list[tuple[int, str]] = []
+    counts: dict[str, int] = {}
+    for raw in text.splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", raw) if "'" not in raw and '"' not in raw else raw
+        body = line.strip()
+        if not body or body.startswith(("#", "---", "...")):
+            continue
+        indent = len(line) - len(line.lstrip())
+        item = body.startswith("- ")
+        while path and (path[-1][0] > indent or (path[-1][0] == indent and not item)):
+            path.pop()
+        if item:
+            base = ".".join(k for _, k in path)
+            n = counts.get(base, 0)
+            counts[base] = n + 1
+            out.append((f"{base}[{n}]", body[2:].strip().strip("'\"")))
+            continue
+        m = re.match(r"""("[^"]*"|'[^']*'|[^:]+?)\s*:(?:\s+(.*))?$""", body)
+        if not m:
+            continue
+        key, value = m[1].strip("'\""), (m[2] or "").strip()
+        if value and value not in ("|", ">"):
+            out.append((".".join([*(k for _, k in path), key]), value.strip("'\"")))
+        else:
+            path.append((indent, key))
+    return out
+
+
+def read_yaml(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(config_key, config_value) of YAML files with dotted keys; of equal keys the last file, then the last line, wins.
+
+    Base files come before the files of a profile in ``paths``.
+    """
+    order = {p.rsplit("/", 1)[-1]: i for i, p in enumerate(paths)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(order[f], n, k, v) for f, t in zip(pdf["f"], pdf["value"]) for n, (k, v) in enumerate(flatten_yaml(t))]
+            yield pd.DataFrame(rows, columns=["f", "n", "config_key", "config_value"])
+
+    files = spark.read.text(list(paths), wholetext=True).select(F.substring_index(F.col("_metadata.file_name"), "/", -1).alias("f"), "value")
+    kv = files.mapInPandas(run, "f int, n int, config_key string, config_value string")
+    return kv.groupBy("config_key").agg(F.max_by("config_value", F.struct("f", "n")).alias("config_value"))
+
+
 def read_properties(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(config_key, config_value) of .properties files; of equal keys the last file, then the last line, wins.
 
