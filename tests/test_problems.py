@@ -60,6 +60,36 @@ def test_orphan_report_counts(spark):
     assert [tuple(x) for x in orphans.orphan_report(r, orphans.orphan_rows(r, p)).collect()] == [("t", "2025-01", 2, 1, 0.5)]
 
 
+def test_orphans_split_a_hot_key(spark, tmp_path):
+    """A third of all references name one method: adaptive execution splits its partition of the anti-join."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "24",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        name = F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("p.C"), i % 20_000))
+        at = F.timestamp_seconds(F.lit(1_735_689_600) + i)
+        rows = spark.range(300_000, numPartitions=6).select("id", F.lit(1).cast("long").alias("repo_id"), name.alias("method"), at.alias("imported_at"))
+        born = F.timestamp_seconds(F.lit(1_735_689_600) + F.when(i == 0, 150_000).otherwise(0))
+        parents = spark.range(20_000).select(F.lit(1).cast("long").alias("repo_id"), F.when(i == 0, "hot").otherwise(F.concat(F.lit("p.C"), i)).alias("method"), born.alias("born"), F.lit(None).cast("timestamp").alias("died"))
+        r = orphans.references(rows, "t", ["repo_id", "method"], "imported_at")
+        p = orphans.lifetimes(parents, ["repo_id", "method"], "born", "died")
+        n = orphans.orphan_rows(r, p).agg(F.count("*"))
+        lost_hot, lost_zero = 50_000, sum(1 for x in range(0, 300_000, 20_000) if x % 3)
+        assert n.collect()[0][0] == lost_hot + lost_zero
+        assert "LeftAnti" in (plan := n._jdf.queryExecution().executedPlan().toString()) and "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_orphans_read_only_what_they_need(spark, data):
     plan = problems.p1_found(spark, data)._jdf.queryExecution().executedPlan().toString()
     read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
