@@ -213,6 +213,16 @@ def test_nested_as_brute_force(spark):
     assert sorted((r.id, r.side, r.path, r.owner_path) for r in got) == want
 
 
+def test_fields_of_nested_objects(spark):
+    body = '{"a": 1, "n": null, "o": {"b": "x", "l": [{"c": true, "p": {"d": 1.5}}, 7]}, "t": "[{\\"e\\": 2}]", "u": "[no"}'
+    df = spark.createDataFrame([(1, body), (2, None), (3, "{"), (4, "[]")], "id long, q string")
+    got = {(r.id, r.object_path, r.owner_path, r.name, r.value) for r in nested.flatten_fields(df, ["id"], {"request": "q"}).collect()}
+    assert got == {
+        (1, "$", "$", "a", "1"), (1, "$", "$", "n", None), (1, "$", "$", "u", "[no"), (1, "$.o", "$", "b", "x"), (1, "$.o.l[0]", "$.o.l[0]", "c", "true"),
+        (1, "$.o.l[0].p", "$.o.l[0]", "d", "1.5"), (1, "$.t[0]", "$.t[0]", "e", "2"),
+    }
+
+
 def test_nested_whole_table_as_brute_force(spark, data):
     want = set()
     for r in problems._bodies(spark, data).collect():

@@ -9,10 +9,14 @@ table then emits the rows. No shuffle, no Python, no schema needed beforehand.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Closes the text under test; a text with anything after its value can't reach it.
 SEAL = "~thicket seal 7f3c91d2~"
+#: How a text begins that may be an object or a list, as a pattern within an SQL literal.
+OPENS = r"^[ \\t\\r\\n]*[\\[{]"
 
 
 def _parse(text: str) -> str:
@@ -30,30 +34,50 @@ def _open(value: str) -> str:
     return f"'a', try_variant_get({value}, '$', 'array<variant>'), 'm', try_variant_get({value}, '$', 'map<string,variant>')"
 
 
-def _walk(body: str) -> str:
-    """SQL: array<struct<path, owner_path, members>> of the list-element objects of ``body``."""
+#: Target tables: the type of their rows, and the SQL that takes them from the open containers ``b.t`` of a round.
+OBJECTS = "struct<path: string, owner_path: string, n_members: int>"
+FIELDS = "struct<object_path: string, owner_path: string, name: string, value: string>"
+
+
+def _objects() -> str:
+    return "transform(filter(b.t, x -> x.e and x.m is not null), x -> named_struct('path', x.p, 'owner_path', x.o, 'n_members', size(x.m)))"
+
+
+def _fields() -> str:
+    text = "try_variant_get(kv.value, '$', 'string')"
+    inside = f"coalesce({text} rlike '{OPENS}' and {_parse(text)} is not null, false)"
+    plain = f"try_variant_get(kv.value, '$', 'array<variant>') is null and try_variant_get(kv.value, '$', 'map<string,variant>') is null and not {inside}"
+    row = f"named_struct('object_path', x.p, 'owner_path', if(x.e, x.p, x.o), 'name', kv.key, 'value', {text})"
+    return f"flatten(transform(filter(b.t, x -> x.m is not null), x -> transform(filter(map_entries(x.m), kv -> {plain}), kv -> {row})))"
+
+
+_TABLES = {OBJECTS: _objects, FIELDS: _fields}
+
+
+def _walk(body: str, rows: str) -> str:
+    """SQL: array of the rows of one target table that ``body`` gives."""
     root = _parse(body)
     seen = f"transform(acc.f, x -> named_struct('p', x.p, 'o', x.o, 'e', x.e, 'v', x.v, {_open('x.v')}))"
     inner = "try_variant_get(x.v, '$', 'string')"
     text = _parse(inner)
     texts = (
-        "transform({seen}, x -> if(x.a is null and x.m is null and x.v is not null and {inner} rlike '^[ \\\\t\\\\r\\\\n]*[\\\\[{{]', "
+        "transform({seen}, x -> if(x.a is null and x.m is null and x.v is not null and {inner} rlike '{opens}', "
         "element_at(transform(array({text}), t -> named_struct('p', x.p, 'o', x.o, 'e', x.e, 'v', t, {open_t})), 1), x))"
-    ).format(seen=seen, inner=inner, text=text, open_t=_open("t"))
+    ).format(seen=seen, inner=inner, text=text, open_t=_open("t"), opens=OPENS)
     live = f"filter({texts}, x -> x.a is not null or x.m is not null)"
     of_object = (
         "transform(map_entries(x.m), kv -> named_struct('p', concat(x.p, '.', kv.key), 'o', if(x.e, x.p, x.o), 'e', false, 'v', kv.value))"
     )
     of_list = "transform(x.a, (c, i) -> named_struct('p', concat(x.p, '[', cast(i as string), ']'), 'o', x.o, 'e', true, 'v', c))"
     children = f"flatten(transform(b.t, x -> if(x.m is not null, {of_object}, {of_list})))"
-    found = "transform(filter(b.t, x -> x.e and x.m is not null), x -> named_struct('path', x.p, 'owner_path', x.o, 'n_members', size(x.m)))"
+    found = _TABLES[rows]()
     step = (
         f"element_at(transform(array(named_struct('t', {live}, 'r', acc.r)), "
         f"b -> named_struct('f', {children}, 'r', concat(b.r, {found}))), 1)"
     )
     start = (
         f"named_struct('f', array(named_struct('p', '$', 'o', '$', 'e', false, 'v', {root})), "
-        "'r', cast(array() as array<struct<path: string, owner_path: string, n_members: int>>))"
+        f"'r', cast(array() as array<{rows}>))"
     )
     # no value lies deeper than the body has opening brackets, escaped ones included
     fuel = (
@@ -63,6 +87,10 @@ def _walk(body: str) -> str:
     return f"aggregate(sequence(1, {fuel}), {start}, (acc, k) -> if(size(acc.f) = 0, acc, {step}), acc -> acc.r)"
 
 
+def _rows(body: str, rows: str) -> Column:
+    return F.expr(f"if({body} is null or not ({body} rlike '[\\\\[{{]'), cast(array() as array<{rows}>), {_walk(body, rows)})")
+
+
 def list_objects(body: str) -> Column:
     """All objects that are list elements anywhere in the JSON text column ``body`` (an SQL expression).
 
@@ -73,11 +101,16 @@ def list_objects(body: str) -> Column:
     entered as if unquoted. Null, empty, cut-off or otherwise invalid bodies
     give an empty array; depth and length are not limited.
     """
-    return F.expr(
-        f"if({body} is null or not ({body} rlike '[\\\\[{{]'), "
-        "cast(array() as array<struct<path: string, owner_path: string, n_members: int>>), "
-        f"{_walk(body)})"
-    )
+    return _rows(body, OBJECTS)
+
+
+def object_fields(body: str) -> Column:
+    """All plain members of all objects: array<struct<object_path, owner_path, name, value>>.
+
+    ``owner_path`` names the row of :func:`list_objects` that the member belongs to (``$``: the body's own row): the object itself if it is
+    a list element, else the nearest such around it. ``value`` is text, null for JSON's null. Plain values in lists are no members.
+    """
+    return _rows(body, FIELDS)
 
 
 def flatten_bodies(df: DataFrame, keep: list[str], bodies: dict[str, str]) -> DataFrame:
@@ -86,10 +119,17 @@ def flatten_bodies(df: DataFrame, keep: list[str], bodies: dict[str, str]) -> Da
     ``bodies`` maps the side's name to the column that holds its text. A body
     without such objects gives no row; repeated input rows give repeated rows.
     """
+    return _flatten(df, keep, bodies, list_objects)
+
+
+def flatten_fields(df: DataFrame, keep: list[str], bodies: dict[str, str]) -> DataFrame:
+    """Rows of the table of plain members: ``keep``, side, object_path, owner_path, name, value."""
+    return _flatten(df, keep, bodies, object_fields)
+
+
+def _flatten(df: DataFrame, keep: list[str], bodies: dict[str, str], rows: Callable[[str], Column]) -> DataFrame:
     def tagged(side: str, col: str) -> Column:
-        return F.transform(
-            list_objects(f"`{col}`"),
-            lambda x: F.struct(F.lit(side).alias("side"), x["path"].alias("path"), x["owner_path"].alias("owner_path"), x["n_members"].alias("n_members")),
-        )
+        return F.transform(rows(f"`{col}`"), lambda x: F.struct(F.lit(side).alias("side"), x.alias("x")))
 
-    return df.select(*keep, F.inline(F.flatten(F.array(*[tagged(s, c) for s, c in bodies.items()]))))
+    one = df.select(*keep, F.inline(F.flatten(F.array(*[tagged(s, c) for s, c in bodies.items()]))))
+    return one.select(*keep, "side", "x.*")

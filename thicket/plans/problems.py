@@ -132,6 +132,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _objects(spark, d).select("session_id", "seq", "side", "path", "owner_path").distinct()
 
 
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of each flat table: plain members by side, table and name, with the rows that have them and the values that are null.
+
+    A member of an object inside a row's object belongs to that row; ``$`` is the table of the bodies themselves.
+    """
+    members = nested.flatten_fields(
+        _bodies(spark, d), ["session_id", "seq"], {"request": "request_body", "response": "response_body"}
+    )
+    path = lambda c: F.regexp_replace(c, r"\[[0-9]+\]", "[]")
+    return members.groupBy("side", path("owner_path").alias("table_path"), path("object_path").alias("object_path"), "name").agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("value").isNull()).alias("n_null")
+    )
+
+
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each flat table: list-element objects by side and list name, with how many have no owner but the body."""
     name = F.regexp_replace("path", r"\[[0-9]+\]", "[]")
@@ -194,6 +208,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_per_key": p3_per_key,
     "p5_found": p5_found,
+    "p5_fields": p5_fields,
     "p5_tables": p5_tables,
 }
 
@@ -206,6 +221,10 @@ FROM all_refs GROUP BY ALL""",
     "p2_found": _P2,
     "p2_items": f"SELECT table_name, column_name, item, count(*) AS n_uses, max(pos) AS last_pos FROM ({_P2}) GROUP BY 1, 2, 3",
     "p5_found": f"WITH RECURSIVE {_P5} SELECT DISTINCT session_id, seq, side, path, owner_path FROM found",
+    "p5_fields": f"""WITH RECURSIVE {_P5}, m AS (SELECT side, CASE WHEN element THEN path ELSE owner_path END AS o, path AS p, unnest(map_entries(v::MAP(VARCHAR, JSON))) AS e FROM t WHERE json_type(v) = 'OBJECT'),
+n AS (SELECT side, o, p, e.key AS name, {_OPENED.format("e.value")} AS v FROM m)
+SELECT side, regexp_replace(o, '\\[[0-9]+\\]', '[]', 'g') AS table_path, regexp_replace(p, '\\[[0-9]+\\]', '[]', 'g') AS object_path, name, count(*) AS n_values, count(*) FILTER (WHERE v IS NULL OR json_type(v) = 'NULL') AS n_null
+FROM n WHERE v IS NULL OR json_type(v) NOT IN ('OBJECT', 'ARRAY') GROUP BY 1, 2, 3, 4""",
     "p5_tables": f"""WITH RECURSIVE {_P5} SELECT side, regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS table_path, count(*) AS n_rows, count(*) FILTER (WHERE owner_path = '$') AS n_top,
 sum(len(json_keys(v))) AS n_fields FROM found GROUP BY 1, 2""",
     "p3_found": f"""
