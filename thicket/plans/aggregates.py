@@ -95,7 +95,7 @@ def a09(spark, d):
 
 @R.query(
     "A11_session_kpis",
-    f"""SELECT session_id, received_at, count(*) AS n, sum(duration) AS total, count(*) FILTER (WHERE duration > 500) AS n_slow, count(*) FILTER (WHERE NOT success) AS n_failed
+    f"""SELECT session_id, received_at, count(*) AS n, CAST(sum(duration) AS BIGINT) AS total, count(*) FILTER (WHERE duration > 500) AS n_slow, count(*) FILTER (WHERE NOT success) AS n_failed
 FROM {REQ} WHERE duration >= 0 GROUP BY ALL""",
 )
 def a11(spark, d):
@@ -291,7 +291,7 @@ def w06(spark, d):
 
 @R.query(
     "W08_running_depth",
-    """SELECT doc_id, max(depth) AS deepest FROM (SELECT doc_id, sum(d) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS depth FROM (
+    """SELECT doc_id, CAST(max(depth) AS BIGINT) AS deepest FROM (SELECT doc_id, sum(d) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS depth FROM (
  SELECT doc_id, unnest(generate_series(1, len(l))) AS i, unnest(list_transform(l, lambda x: length(x) - length(replace(x, '(', '')) - length(x) + length(replace(x, ')', '')))) AS d FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))) GROUP BY 1""",
 )
 def w08(spark, d):

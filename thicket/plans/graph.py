@@ -277,7 +277,7 @@ def _topology(spark, d):
 
 @R.query(
     "G19_topology",
-    f"""WITH {_NODES}, {_TOPO} SELECT repo_id AS from_repo, to_repo, sum(n) AS n_calls, count(DISTINCT callee) AS n_callees, CASE WHEN count(DISTINCT k) > 1 THEN 'MIXED' ELSE coalesce(min(k), 'RPC') END AS call_type FROM far GROUP BY 1, 2""",
+    f"""WITH {_NODES}, {_TOPO} SELECT repo_id AS from_repo, to_repo, CAST(sum(n) AS BIGINT) AS n_calls, count(DISTINCT callee) AS n_callees, CASE WHEN count(DISTINCT k) > 1 THEN 'MIXED' ELSE coalesce(min(k), 'RPC') END AS call_type FROM far GROUP BY 1, 2""",
 )
 def g19(spark, d):
     calls, ep, twice, _ = _topology(spark, d)
@@ -286,7 +286,7 @@ def g19(spark, d):
 
 @R.query(
     "G19_hot_methods",
-    f"""WITH {_NODES}, {_TOPO} SELECT from_repo, to_repo, callee, n, rk FROM (SELECT repo_id AS from_repo, to_repo, callee, sum(n) AS n, row_number() OVER (PARTITION BY repo_id, to_repo ORDER BY sum(n) DESC, callee) AS rk FROM far GROUP BY 1, 2, 3) WHERE rk <= 20""",
+    f"""WITH {_NODES}, {_TOPO} SELECT from_repo, to_repo, callee, n, rk FROM (SELECT repo_id AS from_repo, to_repo, callee, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY repo_id, to_repo ORDER BY sum(n) DESC, callee) AS rk FROM far GROUP BY 1, 2, 3) WHERE rk <= 20""",
 )
 def g19h(spark, d):
     calls, ep, twice, _ = _topology(spark, d)

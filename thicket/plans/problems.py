@@ -226,7 +226,7 @@ n AS (SELECT side, o, p, e.key AS name, {_OPENED.format("e.value")} AS v FROM m)
 SELECT side, regexp_replace(o, '\\[[0-9]+\\]', '[]', 'g') AS table_path, regexp_replace(p, '\\[[0-9]+\\]', '[]', 'g') AS object_path, name, count(*) AS n_values, count(*) FILTER (WHERE v IS NULL OR json_type(v) = 'NULL') AS n_null
 FROM n WHERE v IS NULL OR json_type(v) NOT IN ('OBJECT', 'ARRAY') GROUP BY 1, 2, 3, 4""",
     "p5_tables": f"""WITH RECURSIVE {_P5} SELECT side, regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS table_path, count(*) AS n_rows, count(*) FILTER (WHERE owner_path = '$') AS n_top,
-sum(len(json_keys(v))) AS n_fields FROM found GROUP BY 1, 2""",
+CAST(sum(len(json_keys(v))) AS BIGINT) AS n_fields FROM found GROUP BY 1, 2""",
     "p3_found": f"""
 SELECT 'repo_id' AS key_column, CAST(repo_id AS VARCHAR) AS key_value FROM static_field_usage
 WHERE repo_id IS NOT NULL GROUP BY repo_id HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM static_field_usage)

@@ -139,7 +139,7 @@ def a30(spark, d):
 @R.query(
     "O08_capped_levels",
     f"""WITH RECURSIVE {G._NODES}, {G._reach('callee', 'caller', 'edges', G.START_SUPPLIER, 3)}, c AS (SELECT depth, count(*) AS n FROM reached GROUP BY 1)
-SELECT depth, n, sum(n) OVER (ORDER BY depth) AS upto, sum(n) OVER (ORDER BY depth) > 500 AS truncated FROM c""",
+SELECT depth, n, CAST(sum(n) OVER (ORDER BY depth) AS BIGINT) AS upto, sum(n) OVER (ORDER BY depth) > 500 AS truncated FROM c""",
 )
 def o08(spark, d):
     near = graph.reach(graph.arrows(G.edges(spark, d), upward=True), G.start(spark, G.START_SUPPLIER), 3)
@@ -183,7 +183,7 @@ def g20(spark, d):
 
 @R.query(
     "J03_C6_json_lists",
-    """SELECT repo_id, caller_method, to_json(list(field_name ORDER BY rk)) AS fields FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, caller_method ORDER BY o, field_name) AS rk FROM (SELECT repo_id, caller_method, field_name, min(id) AS o FROM static_field_usage WHERE field_name IS NOT NULL AND caller_method IS NOT NULL GROUP BY 1, 2, 3)) WHERE rk <= 30 GROUP BY 1, 2""",
+    """SELECT repo_id, caller_method, CAST(to_json(list(field_name ORDER BY rk)) AS VARCHAR) AS fields FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, caller_method ORDER BY o, field_name) AS rk FROM (SELECT repo_id, caller_method, field_name, min(id) AS o FROM static_field_usage WHERE field_name IS NOT NULL AND caller_method IS NOT NULL GROUP BY 1, 2, 3)) WHERE rk <= 30 GROUP BY 1, 2""",
 )
 def c6(spark, d):
     u = table(spark, d, "static_field_usage").where("caller_method is not null")

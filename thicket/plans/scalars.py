@@ -178,13 +178,13 @@ def p19(spark, d):
 @R.query(
     "P21_F19_sql_smells",
     """SELECT id, length(sql_statement) - length(replace(upper(sql_statement), 'WHERE', 'WHER')) AS n_where,
- list_filter([CASE WHEN contains(u, 'SELECT *') THEN 'select_all' END, CASE WHEN contains(u, 'SELECT') AND NOT contains(u, 'WHERE') AND NOT contains(u, 'LIMIT') THEN 'full_scan' END,
- CASE WHEN len(string_split(u, 'JOIN')) > 3 THEN 'many_joins' END, CASE WHEN len(string_split(u, 'SELECT')) > 2 THEN 'subquery' END], lambda x: x IS NOT NULL) AS smells
+ array_to_string(list_filter([CASE WHEN contains(u, 'SELECT *') THEN 'select_all' END, CASE WHEN contains(u, 'SELECT') AND NOT contains(u, 'WHERE') AND NOT contains(u, 'LIMIT') THEN 'full_scan' END,
+ CASE WHEN len(string_split(u, 'JOIN')) > 3 THEN 'many_joins' END, CASE WHEN len(string_split(u, 'SELECT')) > 2 THEN 'subquery' END], lambda x: x IS NOT NULL), ',') AS smells
 FROM (SELECT *, upper(sql_statement) AS u FROM api_endpoints WHERE sql_statement IS NOT NULL)""",
 )
 def p21(spark, d):
     s = F.col("sql_statement")
-    return table(spark, d, "api_endpoints").where("sql_statement is not null").select("id", F.regexp_count(F.upper(s), F.lit("WHERE")).cast("long").alias("n_where"), pr.sql_smells(s).alias("smells"))
+    return table(spark, d, "api_endpoints").where("sql_statement is not null").select("id", F.regexp_count(F.upper(s), F.lit("WHERE")).cast("long").alias("n_where"), F.array_join(pr.sql_smells(s), ",").alias("smells"))
 
 
 _TYPE = "CASE " + " ".join(f"WHEN l LIKE '%{e}' THEN '{k}'" for e, k in pr.CLASS_TYPES) + " ELSE 'Class' END"

@@ -101,7 +101,7 @@ def r13(spark, d):
 
 @R.query(
     "R14_chain_comparison",
-    f"""WITH k AS (SELECT session_id, received_at, sum(duration) AS total, count(*) AS n FROM {REQ} WHERE duration >= 0 GROUP BY 1, 2)
+    f"""WITH k AS (SELECT session_id, received_at, CAST(sum(duration) AS BIGINT) AS total, count(*) AS n FROM {REQ} WHERE duration >= 0 GROUP BY 1, 2)
 SELECT session_id, count(*) AS n_deliveries, min(total) AS least, max(total) AS most, round(stddev_pop(total) / nullif(avg(total), 0), 6) AS cv, max(n) - min(n) AS n_diff FROM k GROUP BY 1""",
 )
 def r14(spark, d):
