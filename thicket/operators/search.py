@@ -22,9 +22,10 @@ def keyword_score(words: Sequence[str], fields: Sequence[tuple[Column, int, int]
     return reduce(Column.__add__, hits, F.lit(0))
 
 
-def best(df: DataFrame, score: Column, k: int, tie: str) -> DataFrame:
-    """The ``k`` rows of greatest positive score; ties go to the least ``tie``."""
-    return df.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), tie).limit(k)
+def best(df: DataFrame, score: Column, k: int | None, tie: str) -> DataFrame:
+    """The ``k`` rows of greatest positive score (none: all of them), in order; ties go to the least ``tie``."""
+    found = df.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), tie)
+    return found if k is None else found.limit(k)
 
 
 def cosine(a: Column, b: Column) -> Column:

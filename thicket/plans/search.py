@@ -23,13 +23,26 @@ def _hits(col: str, words, weight: int) -> str:
     return " + ".join(f"CASE WHEN contains(lower({col}), '{w}') THEN {weight} ELSE 0 END" for w in words)
 
 
+def _endpoints_found(spark, d, k):
+    fields = [(F.col("url_path"), 10, 1), (sig.simple_class(F.col("class_name")), 5, 1), (sig.method_name(F.col("full_method")), 5, 1)]
+    return search.best(table(spark, d, "api_endpoints"), search.keyword_score(["order", "list"], fields), k, "id").select("id", "score")
+
+
 @R.query(
     "R01_endpoint_search",
     f"SELECT id, score FROM (SELECT id, {_hits('url_path', ['order', 'list'], 10)} + {_hits(_LAST, ['order', 'list'], 5)} + {_hits(METHOD, ['order', 'list'], 5)} AS score FROM api_endpoints) WHERE score > 0 ORDER BY score DESC, id LIMIT 30",
 )
 def r01(spark, d):
-    fields = [(F.col("url_path"), 10, 1), (sig.simple_class(F.col("class_name")), 5, 1), (sig.method_name(F.col("full_method")), 5, 1)]
-    return search.best(table(spark, d, "api_endpoints"), search.keyword_score(["order", "list"], fields), 30, "id").select("id", "score")
+    """The first 30 rows of R01_endpoint_search_all."""
+    return _endpoints_found(spark, d, 30)
+
+
+@R.query(
+    "R01_endpoint_search_all",
+    f"SELECT id, score FROM (SELECT id, {_hits('url_path', ['order', 'list'], 10)} + {_hits(_LAST, ['order', 'list'], 5)} + {_hits(METHOD, ['order', 'list'], 5)} AS score FROM api_endpoints) WHERE score > 0 ORDER BY score DESC, id",
+)
+def r01_all(spark, d):
+    return _endpoints_found(spark, d, None)
 
 
 @R.query(
