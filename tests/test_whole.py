@@ -22,3 +22,21 @@ def test_first_rows_come_from_the_whole(spark, tmp_path, name):
     q = entry.queries()
     first, every = ([tuple(r) for r in q[n](spark, str(tmp_path)).collect()] for n in (name, f"{name}_all"))
     assert len(first) == 30 and len(every) == 100 and every[:30] == first
+
+
+def test_text_budget_of_the_reference(spark, tmp_path):
+    def by_hand(names):
+        text = ""
+        for n in sorted(set(names)):
+            if len(text) + len(n) > 800:
+                break
+            text += " " * bool(text) + n
+        return text
+
+    # a: under 800; b: over it; c: the last name just fits; d: one name alone is too long
+    groups = {"a": [f"method{i:02}" for i in range(30)], "b": [f"method{i:04}" for i in range(200)], "c": ["a" * 400, "b" * 399, "c"], "d": ["x" * 801]}
+    rows = [(1, c, n) for c, names in groups.items() for n in names * 2]
+    spark.createDataFrame(rows, "repo_id long, class_name string, method_name string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.class_name: r.summary for r in entry.queries()["A18_W07_text_budget_800"](spark, str(tmp_path)).collect()}
+    assert got == {c: by_hand(names) for c, names in groups.items()}
+    assert len(got["a"]) > 80 and len(got["c"]) == 800

@@ -162,6 +162,21 @@ def a18(spark, d):
     return kept.groupBy("repo_id", "class_name").agg(F.array_join(F.array_sort(F.collect_list("method_name")), " ").alias("summary"))
 
 
+@R.query(
+    "A18_W07_text_budget_800",
+    """SELECT repo_id, class_name, coalesce(string_agg(method_name, ' ' ORDER BY method_name) FILTER (WHERE before + length(method_name) <= 800), '') AS summary
+FROM (SELECT repo_id, class_name, method_name, coalesce(sum(length(method_name) + 1) OVER (PARTITION BY repo_id, class_name ORDER BY method_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS before
+FROM (SELECT DISTINCT repo_id, class_name, method_name FROM chunks WHERE method_name IS NOT NULL)) GROUP BY 1, 2""",
+)
+def a18_800(spark, d):
+    """With the reference's budget: a name is added while the text so far and the name have at most 800 characters, the blank between them aside."""
+    m = table(spark, d, "chunks").where("method_name is not null").select("repo_id", "class_name", "method_name").distinct()
+    w = Window.partitionBy("repo_id", "class_name").orderBy("method_name").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("method_name") + 1).over(w) - 1, F.lit(0))
+    fits = m.withColumn("name", F.when(before + F.length("method_name") <= 800, F.col("method_name")))
+    return fits.groupBy("repo_id", "class_name").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("summary"))
+
+
 @R.query(
     "A19_repo_profile",
     """WITH p AS (SELECT repo_id, array_to_string(string_split(package_name, '.')[1:3], '.') AS p, count(*) AS n FROM chunks GROUP BY ALL),
