@@ -40,3 +40,17 @@ def test_text_budget_of_the_reference(spark, tmp_path):
     got = {r.class_name: r.summary for r in entry.queries()["A18_W07_text_budget_800"](spark, str(tmp_path)).collect()}
     assert got == {c: by_hand(names) for c, names in groups.items()}
     assert len(got["a"]) > 80 and len(got["c"]) == 800
+
+
+@pytest.mark.parametrize("per", [None, "label"])
+def test_batched_search_equals_single_searches(spark, monkeypatch, per):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "ROW_BLOCK", 20)
+    # repeated vectors give ties; null, zero and short vectors and a null label are there too
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], i % 3 if i % 10 else None) for i in range(100)] + [(100, [0.0, 0.0, 0.0], 1), (101, None, 1), (102, [1.0, 2.0], 1)]
+    v = spark.createDataFrame(rows, "id long, e array<float>, label int")
+    q = v.where("id % 10 = 0 and id < 100").select(F.col("id").alias("query"), F.col("e").alias("qv"))
+    cols = ["id", "similarity", *([per] if per else [])]
+    want = {(i, *r) for i, e, _ in rows[:100:10] for r in search.nearest(v, "e", e, 4, "id", per).select(*cols).collect()}
+    got = {tuple(r) for r in search.nearest_batch(v, "e", q, "query", "qv", 4, "id", per).select("query", *cols).collect()}
+    assert got == want and len({r[0] for r in got}) == 10

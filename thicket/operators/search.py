@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -45,6 +47,59 @@ def nearest(vectors: DataFrame, vector: str, query: Sequence[float], k: int, tie
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
 
 
+#: Queries and rows that are scored together: one block of each gives some 64 MB of similarities.
+QUERY_BLOCK, ROW_BLOCK = 2_000, 4_000
+
+
+def nearest_batch(vectors: DataFrame, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, tie: str, per: str | None = None) -> DataFrame:
+    """:func:`nearest` for every row (``query``, ``query_vector``) of ``queries``: (query, tie, per where given, similarity).
+
+    Every block of queries meets every block of rows and keeps its own ``k``; the best of
+    these are the result. ``query`` and ``tie`` are unique and not null. Vectors of another length than the query's or
+    with null, NaN or no length are nobody's neighbours.
+    """
+    names = [query, tie, *([per] if per else [])]
+    types = {f.name: f.dataType.simpleString() for df in (queries, vectors) for f in df.schema}
+
+    def blocks(df: DataFrame, key: str, most: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // most))
+        return df.withColumn("own", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+    q, nq = blocks(queries.select(query, F.col(query_vector).cast("array<double>").alias("qv")).where("qv is not null"), query, QUERY_BLOCK)
+    v, nv = blocks(vectors.select(tie, *([per] if per else []), F.col(vector).cast("array<double>").alias("v")).where("v is not null"), tie, ROW_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", F.col("own")).withColumn("vb", every(nv)).drop("own")
+    v = v.withColumn("vb", F.col("own")).withColumn("qb", every(nq)).drop("own")
+
+    def best_of(left, right):
+        parts = []
+        lengths, widths = left["qv"].map(len), right["v"].map(len)
+        for size in sorted(set(lengths) & set(widths) - {0}):
+            a, b = left[lengths == size], right[widths == size].sort_values(tie)
+            x, y = (np.array([np.asarray(u, dtype=float) for u in c]) for c in (a["qv"], b["v"]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = np.round((x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]), 9)
+            sim[np.isnan(sim)] = -np.inf
+            codes = pd.factorize(b[per], use_na_sentinel=False)[0] if per else np.zeros(len(b), dtype=int)
+            for group in np.unique(codes):
+                at = np.flatnonzero(codes == group)
+                own = sim[:, at]
+                least = np.partition(own, len(at) - k, axis=1)[:, len(at) - k] if len(at) > k else np.full(len(a), -np.inf)
+                for i in range(len(a)):
+                    near = np.flatnonzero((own[i] >= least[i]) & (own[i] > -np.inf))
+                    near = at[near[np.argsort(-own[i, near], kind="stable")[:k]]]  # rows are in the order of the tie
+                    found = b.iloc[near][names[1:]]
+                    found.insert(0, query, a[query].iloc[i])
+                    found["similarity"] = sim[i, near]
+                    parts.append(found)
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in [*names, "similarity"]})
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "similarity double"])
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best_of, schema)
+    w = Window.partitionBy(query, *([per] if per else [])).orderBy(F.desc("similarity"), tie)
+    return found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters."""
     n = F.length(text)

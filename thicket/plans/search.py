@@ -76,6 +76,27 @@ def r04(spark, d):
     return search.nearest(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 5, "vec_id", "label").select("vec_id", "label", "similarity")
 
 
+_COS_ALL = """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 9) AS similarity FROM embeddings, q)"""
+
+
+def _nearest_of_all(spark, d, k, per=None):
+    """Neighbours of every row whose id is divisible by 50."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return search.nearest_batch(e, "embedding", q, "query_id", "qv", k, "vec_id", per)
+
+
+@R.query("R03_O03_vector_top_k_batch", f"{_COS_ALL} SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20")
+def r03_batch(spark, d):
+    return _nearest_of_all(spark, d, 20)
+
+
+@R.query("R04_vector_top_k_per_group_batch", f"{_COS_ALL} SELECT query_id, vec_id, label, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, vec_id) <= 5")
+def r04_batch(spark, d):
+    return _nearest_of_all(spark, d, 5, "label")
+
+
 @R.query(
     "R05_repo_routing",
     f"SELECT id, score FROM (SELECT id, name, {_hits('git_url', ['fleet', 'git', 'hub'], 3)} + {_hits('name', ['fleet', 'git', 'hub'], 20)} AS score FROM repositories) WHERE score > 0 ORDER BY score DESC, name LIMIT 5",
