@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from thicket.engine import Engine
 from thicket.operators import search
 
 
@@ -54,3 +55,20 @@ def test_batched_search_equals_single_searches(spark, monkeypatch, per):
     want = {(i, *r) for i, e, _ in rows[:100:10] for r in search.nearest(v, "e", e, 4, "id", per).select(*cols).collect()}
     got = {tuple(r) for r in search.nearest_batch(v, "e", q, "query", "qv", 4, "id", per).select("query", *cols).collect()}
     assert got == want and len({r[0] for r in got}) == 10
+
+
+def test_shared_callees_do_not_use_up_the_tree(spark):
+    """A root, 20 services that all call the same 20 repositories, each with 20 leaves of its own: 441 nodes, 820 edges."""
+    s, r = [f"p.S{i:02}:run(int)" for i in range(20)], [f"p.R{i:02}:run(int)" for i in range(20)]
+    pairs = [("p.A:run(int)", x) for x in s] + [(x, y) for x in s for y in r] + [(y, f"{y[:5]}L{i:02}:run(int)") for y in r for i in range(20)]
+    e = spark.createDataFrame([(1, a, b, "VIR", True, 1, i) for i, (a, b) in enumerate(pairs)], "repo_id long, caller string, callee string, call_type string, enabled boolean, line_number int, call_id int")
+    m = spark.createDataFrame([], "repo_id long, full_method string, class_name string")
+    eng = Engine(spark, e, m, m, m, m)
+    whole = eng.call_tree_rows("p.A:run(int)", cap=500)
+    assert len(whole) == len({x["node"] for x in whole}) == 441 and not any(x["lazy"] for x in whole)
+    outline = eng.chain_outline("p.A:run(int)", 300)
+    assert [x["node"] for x in outline[:30]] == [x["node"] for x in whole[:30]]
+    assert len(outline) == 300 and outline[-1]["truncated"]
+    assert not any(x["truncated"] for x in eng.chain_outline("p.A:run(int)", 441))
+    few = {x["node"]: x for x in eng.call_tree_rows("p.A:run(int)", cap=50)}
+    assert set(r) <= set(few) and all(few[x]["lazy"] for x in r) and not few[s[0]]["cut"]

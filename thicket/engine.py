@@ -90,7 +90,7 @@ class Engine:
         return graph.tree_edges(self.bridged, self._start(method), max_depth).distinct()
 
     def call_tree_rows(self, method: str, max_depth: int = 10, cap: int = 8000) -> list[dict]:
-        """The tree depth first, assembled on the driver from at most ``cap`` + 1 edges."""
+        """The tree depth first, assembled on the driver from the ``cap`` + 1 nearest nodes; ``cut`` and lazy where callees beyond them are missing."""
         return graph.assemble_tree(self.bridged.withColumn("call_id", F.lit(0)), method, max_depth, cap)
 
     def impact(self, method: str, depth: int = 15) -> DataFrame:
@@ -128,7 +128,7 @@ class Engine:
         """Visiting order of the tree, cut at ``max_nodes``, with ``truncated`` on the last row where more would follow."""
         rows = self.call_tree_rows(method, max_depth, max_nodes + 1)
         cut = [{**r, "truncated": False} for r in rows[:max_nodes]]
-        if cut and len(rows) > max_nodes:
+        if cut and (len(rows) > max_nodes or any(r["cut"] for r in rows)):
             cut[-1]["truncated"] = True
         return cut
 

@@ -75,32 +75,38 @@ def tree_edges(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame
 def assemble_tree(edges: DataFrame, start: str, max_depth: int, cap: int = 8000, order: Sequence[str] = ("call_id",)) -> list[dict]:
     """Depth-first call tree of one method as rows in visiting order, on the driver.
 
-    Only the edges :func:`tree_edges` finds are collected, at most ``cap`` + 1
-    of them. A callee that is its own ancestor is a recursive leaf, one that was
-    expanded before is left out, one at the depth limit or beyond ``cap`` nodes is lazy.
+    The ``cap`` + 1 nearest nodes and the edges between them, one for each pair, are
+    collected. A callee that is its own ancestor is a recursive leaf, one that was expanded before is left out, one
+    at the depth limit or beyond ``cap`` nodes is lazy. A caller with callees beyond the nearest nodes is ``cut``, and lazy too.
     """
     spark = edges.sparkSession
-    rows = tree_edges(edges, spark.createDataFrame([(start,)], "node string"), max_depth).orderBy("depth", *order, "callee").limit(cap + 1).collect()
-    children: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (*[r[c] for c in order], r["callee"])):
-        children.setdefault(r["caller"], []).append(r)
+    near = cut_lineage(reach(arrows(edges), spark.createDataFrame([(start,)], "node string"), max_depth))
+    nodes = [tuple(r) for r in near.orderBy("depth", "node").limit(cap + 1).select("node", "depth").collect()]
+    kept = F.broadcast(spark.createDataFrame(nodes, "node string, at int"))
+    own = edges.join(kept.where(F.col("at") < max_depth).select(F.col("node").alias("caller")), "caller").where("callee is not null")
+    inside = kept.select(F.col("node").alias("callee"))
+    rows = own.join(inside, "callee").groupBy("caller", "callee").agg(F.min(F.struct(*order)).alias("first")).collect()
+    cut: set[str] = set()
+    if near.count() > len(nodes):
+        cut = {r.caller for r in own.join(inside, "callee", "left_anti").select("caller").distinct().collect()}
+    children: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (*r["first"], r["callee"])):
+        children.setdefault(r["caller"], []).append(r["callee"])
     out: list[dict] = []
     done: set[str] = set()
     stack = [(start, None, 0, ())]
     while stack:
         node, parent, depth, path = stack.pop()
         if node in path:
-            out.append({"node": node, "parent": parent, "depth": depth, "recursive": True, "lazy": False})
+            out.append({"node": node, "parent": parent, "depth": depth, "recursive": True, "lazy": False, "cut": False})
             continue
         if node in done:
             continue
         lazy = depth >= max_depth or len(out) >= cap
-        out.append({"node": node, "parent": parent, "depth": depth, "recursive": False, "lazy": lazy})
+        out.append({"node": node, "parent": parent, "depth": depth, "recursive": False, "lazy": lazy or node in cut, "cut": not lazy and node in cut})
         if not lazy:
             done.add(node)
-            seen: set[str] = set()
-            below = [r["callee"] for r in children.get(node, []) if not (r["callee"] in seen or seen.add(r["callee"]))]
-            stack += [(c, node, depth + 1, (*path, node)) for c in reversed(below)]
+            stack += [(c, node, depth + 1, (*path, node)) for c in reversed(children.get(node, []))]
     return out
 
 
