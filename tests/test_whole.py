@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from thicket.engine import Engine
-from thicket.operators import search
+from thicket.operators import graph, search
 
 
 def test_best_without_k_keeps_every_hit_in_order(spark):
@@ -72,3 +72,9 @@ def test_shared_callees_do_not_use_up_the_tree(spark):
     assert not any(x["truncated"] for x in eng.chain_outline("p.A:run(int)", 441))
     few = {x["node"]: x for x in eng.call_tree_rows("p.A:run(int)", cap=50)}
     assert set(r) <= set(few) and all(few[x]["lazy"] for x in r) and not few[s[0]]["cut"]
+
+
+@pytest.mark.parametrize(("pairs", "want"), [("ab bc cd de ea ax", (True, 5)), ("ab bc cb ad", (False, None)), ("aa ab", (True, 1)), ("", (False, None))])
+def test_cycle(spark, pairs, want):
+    steps = spark.createDataFrame([(p[0], p[1]) for p in pairs.split()], "src string, dst string")
+    assert [tuple(r)[1:] for r in graph.cycle(steps, "a").collect()] == [want]

@@ -66,6 +66,13 @@ def reach(steps: DataFrame, starts: DataFrame, max_depth: int | None = None, sto
     return seen
 
 
+def cycle(steps: DataFrame, start: str) -> DataFrame:
+    """One row (node, has_cycle, length): whether ``start`` is reached from its own next nodes, and the length of its shortest cycle, else null."""
+    steps = cut_lineage(steps)
+    back = reach(steps, steps.where(F.col("src") == start).select(F.col("dst").alias("node"))).where(F.col("node") == start)
+    return back.agg(F.lit(start).alias("node"), (F.count("*") > 0).alias("has_cycle"), (F.min("depth") + 1).alias("length"))
+
+
 def tree_edges(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """Edges of ``edges`` (caller, ..) whose caller is reached in fewer than ``max_depth`` steps, with that ``depth``."""
     near = reach(arrows(edges), starts, max_depth - 1).withColumnRenamed("node", "caller")

@@ -155,9 +155,13 @@ def g04(spark, d):
 SELECT n.repo_id, count(*) AS n_methods, count(p.full_method) AS n_endpoints, max(depth) AS deepest FROM reached r JOIN nodes n ON n.node = r.node LEFT JOIN endpoints p ON p.full_method = r.node GROUP BY 1""",
 )
 def g06(spark, d):
+    return _impact(spark, d, 4)
+
+
+def _impact(spark, d, depth):
     ep = endpoints(spark, d)
     up = graph.arrows(graph.valid_edges(edges(spark, d)), upward=True)
-    hit = graph.reach(up, start(spark, START_SUPPLIER), 4, stops=ep.select(F.col("full_method").alias("node")))
+    hit = graph.reach(up, start(spark, START_SUPPLIER), depth, stops=ep.select(F.col("full_method").alias("node")))
     hit = hit.withColumnRenamed("node", "full_method").join(nodes(spark, d), "full_method").join(ep.select("full_method", "endpoint_type"), "full_method", "left")
     return hit.groupBy("repo_id").agg(F.count("*").alias("n_methods"), F.count("endpoint_type").alias("n_endpoints"), F.max("depth").alias("deepest"))
 
@@ -185,6 +189,43 @@ def g09(spark, d):
     return paths.select("node", "depth", F.array_join("path", "<").alias("path"))
 
 
+@R.query("G02_callers_depth_10", f"WITH RECURSIVE {_NODES}, {_reach('callee', 'caller', 'edges', START_SUPPLIER, 10)} SELECT node, depth FROM reached")
+def g02_10(spark, d):
+    return graph.reach(graph.arrows(edges(spark, d), upward=True), start(spark, START_SUPPLIER), 10)
+
+
+@R.query("G03_call_tree_10")
+def g03t_10(spark, d):
+    """G03_call_tree with the engine's depth and cap; it meets the graph's cycles."""
+    rows = graph.assemble_tree(graph.valid_edges(edges(spark, d)), START_ORDER, 10, cap=8000, order=("line",))
+    return spark.createDataFrame([(i, r["node"], r["parent"], r["depth"], r["recursive"], r["lazy"]) for i, r in enumerate(rows)], "pos int, node string, parent string, depth int, recursive boolean, lazy boolean")
+
+
+@R.query("G04_reachable_boundaries_all", f"WITH RECURSIVE {_NODES}, r AS (SELECT '{START_ORDER}' AS node UNION SELECT e.callee FROM r JOIN valid e ON e.caller = r.node) SELECT r.node, b.mark FROM r JOIN bounds b ON b.node = r.node")
+def g04_all(spark, d):
+    near = graph.reach(graph.arrows(graph.valid_edges(edges(spark, d))), start(spark, START_ORDER))
+    return near.join(bounds(spark, d), "node").select("node", "mark")
+
+
+@R.query(
+    "G06_A10_impact_15",
+    f"""WITH RECURSIVE {_NODES}, {_reach('callee', 'caller', 'valid', START_SUPPLIER, 15, "AND (r.depth = 0 OR NOT EXISTS (SELECT 1 FROM endpoints x WHERE x.full_method = r.node))")}
+SELECT n.repo_id, count(*) AS n_methods, count(p.full_method) AS n_endpoints, max(depth) AS deepest FROM reached r JOIN nodes n ON n.node = r.node LEFT JOIN endpoints p ON p.full_method = r.node GROUP BY 1""",
+)
+def g06_15(spark, d):
+    return _impact(spark, d, 15)
+
+
+@R.query(
+    "G16_cycle",
+    f"""WITH RECURSIVE {_NODES}, r AS (SELECT callee AS node, 1 AS depth FROM valid WHERE caller = '{START_ORDER}' UNION SELECT e.callee, r.depth + 1 FROM r JOIN valid e ON e.caller = r.node WHERE r.depth < 15)
+SELECT '{START_ORDER}' AS node, count(*) > 0 AS has_cycle, min(depth) AS length FROM r WHERE node = '{START_ORDER}'""",
+)
+def g16(spark, d):
+    """Whether the start calls itself by way of others, and the least number of steps; no limit of depth."""
+    return graph.cycle(graph.arrows(graph.valid_edges(edges(spark, d))), START_ORDER)
+
+
 _INH = """inh AS (SELECT DISTINCT 'geo.nation.N' || n_nationkey AS child, 'geo.region.R' || n_regionkey AS parent, 'IMPLEMENTS' AS kind FROM nation
  UNION SELECT 'crm.customer.C' || c_custkey, 'geo.nation.N' || c_nationkey, 'EXTENDS' FROM customer),
 meth AS (SELECT DISTINCT 'geo.region.R' || n_regionkey AS c, 'open()' AS k, true AS abstract FROM nation UNION SELECT 'geo.nation.N' || n_nationkey, 'route(int)', n_nationkey % 2 = 0 FROM nation
