@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from thicket.functions import json_text
 from thicket.operators import nested, orphans, packed, skew
 from thicket.plans import problems
 from thicket.session import table
@@ -231,6 +232,48 @@ def test_nested_whole_table_as_brute_force(spark, data):
     assert {tuple(r) for r in problems.p5_found(spark, data).collect()} == want and want
 
 
+def _deep(n: int) -> str:
+    """Lists of objects nested ``n`` deep."""
+    return '[{"a": ' * n + "1" + "}]" * n
+
+
+def test_bodies_the_parser_refuses(spark):
+    repeated = '{"a": [{"x": 1}], "a": [{"x": 2}, {"y": 3, "y": [{}]}]}'
+    inside = json.dumps({"t": repeated, "l": [{"d": _deep(600)}]})
+    rows = [(1, _deep(600)), (2, repeated), (3, inside), (4, _deep(600)[:-1]), (5, '{"a": [{}], "a": '), (6, json.dumps(repeated)), (7, "[{}] " + "1" * 1200),
+            (8, '[{"n": ' + "1" * 1200 + "}]"), (9, '[{"' + "k" * 60_000 + '": {}}]'), (10, "[{}]")]
+    df = spark.createDataFrame([(i, b, "x") for i, b in rows], "id long, q string, __b0 string")
+    got = {}
+    for r in nested.flatten_bodies(df, ["id"], {"request": "q"}).collect():
+        got.setdefault(r.id, []).append((r.path, r.owner_path, r.n_members))
+    assert {i: len(v) for i, v in got.items()} == {1: 600, 2: 4, 3: 4 + 1 + 600, 6: 4, 8: 1, 9: 1, 10: 1}
+    assert sorted(got[2]) == [("$.a[0]", "$", 1), ("$.a[0]", "$", 1), ("$.a[1]", "$", 2), ("$.a[1].y[0]", "$.a[1]", 0)]
+    assert ("$[0]" + ".a[0]" * 599, "$[0]" + ".a[0]" * 598, 1) in got[1]
+    assert ("$.l[0].d[0].a[0]", "$.l[0].d[0]", 1) in got[3] and ("$.t.a[1].y[0]", "$.t.a[1]", 0) in got[3]
+    fields = nested.flatten_fields(df, ["id"], {"request": "q"}).where("id = 2").collect()
+    assert sorted((r.object_path, r.owner_path, r.name, r.value) for r in fields) == [
+        ("$.a[0]", "$.a[0]", "x", "1"), ("$.a[0]", "$.a[0]", "x", "2"), ("$.a[1]", "$.a[1]", "y", "3"),
+    ]
+
+
+def test_exact_reader_as_the_library():
+    good = ["0", "-1.5e+3", '"a\\u00e9\\n"', "[]", "{}", ' {"a" : [1, "b", null, {"c": {}}], "": true} ', '["\\ud800"]', "[[[[]]]]"]
+    bad = ["", " ", "01", "1.", "-", "+1", '"\t"', '"\\x"', "[1,]", "[,1]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "{,}", "{1:2}", "]", "[}", "{]", "[1] 2", "nul", "NaN", "[", '{"a":1', "'a'", ":", '{"a"::1}']
+
+    def plain(v):
+        if isinstance(v, json_text.Members):
+            return {k: plain(x) for k, x in v}
+        return [plain(x) for x in v] if isinstance(v, list) else json.loads(v) if isinstance(v, json_text.Plain) else v
+
+    for t in good:
+        assert plain(json_text.parse(t)) == json.loads(t), t
+    for t in bad:
+        with pytest.raises(ValueError):
+            json_text.parse(t)
+    for b in BODIES:
+        assert sorted(x[:2] for x in json_text.list_objects(b or "")) == sorted(brute.list_objects(b)), b
+
+
 def test_nested_empty(spark):
     df = spark.createDataFrame([], "id long, q string")
     assert nested.flatten_bodies(df, ["id"], {"request": "q"}).count() == 0
