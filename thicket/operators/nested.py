@@ -28,6 +28,8 @@ SEAL = "~thicket seal 7f3c91d2~"
 OPENS = r"^[ \\t\\r\\n]*[\\[{]"
 #: The same for a whole body, which may be a text itself.
 BEGINS = r"^[ \\t\\r\\n]*[\\[{\"]"
+#: How either ends; a text that is cut off ends otherwise in most cases.
+ENDS = r"[\\]}\"][ \\t\\r\\n]*$"
 
 
 def _parse(text: str) -> str:
@@ -73,8 +75,8 @@ def _walk(body: str, rows: str) -> str:
     text = _parse(inner)
     texts = (
         "transform({seen}, x -> if(x.a is null and x.m is null and x.v is not null and {inner} rlike '{opens}', "
-        "element_at(transform(array({text}), t -> named_struct('p', x.p, 'o', x.o, 'e', x.e, 'v', t, {open_t}, 'b', t is null)), 1), x))"
-    ).format(seen=seen, inner=inner, text=text, open_t=_open("t"), opens=OPENS)
+        "element_at(transform(array({text}), t -> named_struct('p', x.p, 'o', x.o, 'e', x.e, 'v', t, {open_t}, 'b', t is null and {inner} rlike '{ends}')), 1), x))"
+    ).format(seen=seen, inner=inner, text=text, open_t=_open("t"), opens=OPENS, ends=ENDS)
     live = f"filter({texts}, x -> x.a is not null or x.m is not null or x.b)"
     of_object = (
         "transform(map_entries(x.m), kv -> named_struct('p', concat(x.p, '.', kv.key), 'o', if(x.e, x.p, x.o), 'e', false, 'v', kv.value))"
@@ -89,7 +91,7 @@ def _walk(body: str, rows: str) -> str:
     )
     start = (
         f"element_at(transform(array({root}), v -> named_struct('f', array(named_struct('p', '$', 'o', '$', 'e', false, 'v', v)), "
-        f"'r', cast(array() as array<{rows}>), 'refused', v is null and {body} rlike '{BEGINS}')), 1)"
+        f"'r', cast(array() as array<{rows}>), 'refused', v is null and {body} rlike '{BEGINS}' and {body} rlike '{ENDS}')), 1)"
     )
     # no value lies deeper than the body has opening brackets, escaped ones included
     fuel = (
