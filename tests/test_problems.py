@@ -136,6 +136,36 @@ def test_split_whole_tables_as_brute_force(spark, data):
     assert got == want
 
 
+def test_code_lengths_alone_decide(spark):
+    """The same text is divided at its commas in one column and not in another, by what recurs there."""
+    rnd = random.Random(5)
+    last = [a + b for a in ("Smith", "Doe", "Kral", "Novak", "Ito") for b in ("", "son", "ez", "ova")]
+    people = [f"{x}, {y}" for x in last for y in rnd.sample(["John", "Jane", "Ann", "Bo", "Cyd", "Dee", "Eve", "Finn"], 2)]
+    names = ["; ".join(rnd.sample(people, rnd.randint(1, 4))) for _ in range(400)]
+    words = [*last, "John", "Jane", "Ann", "Bo"]
+    lists = [rnd.choice([", ", "; "]).join(rnd.sample(words, rnd.randint(1, 5))) for _ in range(400)]
+    same = "; ".join(people[:2])
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*zip(names, lists), (same, same)])], "id long, names string, words string")
+    got = {}
+    for r in packed.split_packed([(df, "t", "id", c, True) for c in ("names", "words")]).orderBy("row_id", "pos").collect():
+        got.setdefault((r.column_name, r.row_id), []).append(r.item)
+    assert all(got["names", i] == x.split("; ") for i, x in enumerate([*names, same]))
+    assert all(got["words", i] == re.split("[,;] ", x) for i, x in enumerate([*lists, same]))
+
+
+def test_every_set_of_classes_is_tried():
+    """Six classes of delimiters: all 64 sets, made at once or twice, the same parses; texts as long as wished."""
+    text = "a, b; c|d\te\nf、g"
+    found = list(packed.parses(text, False))
+    assert found[0][2] == ["a", "b", "c", "d", "e", "f", "g"] and found[0][-1] == len(found) == 64
+    assert ["a, b", "c|d\te\nf、g"] in [p[2] for p in found]
+    at_once, packed._AT_ONCE = packed._AT_ONCE, 9
+    try:
+        assert sorted(map(str, packed.parses(text, False))) == sorted(map(str, found))
+    finally:
+        packed._AT_ONCE = at_once
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab.( )<>\"'x", min_size=0, max_size=8), max_size=6), st.sampled_from([",", ";", " | ", "\n"]))
 def test_first_parse_keeps_quoted_values(values, between):

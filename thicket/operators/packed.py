@@ -1,41 +1,57 @@
 """Several values packed in one field: one row per value, split by the dialect of least description length.
 
-A dialect is a set of delimiters and a way to write quotes. Every field is
-parsed under all dialects that its characters allow; parses that agree are one.
-The code length of a parse is what its values cost, plus the dialect, plus every
-delimiter or quote that the dialect leaves as plain text:
-
-* a value that occurs in n of N fields costs log2(N / n) bits for naming it
-  and its n-th part of spelling it out once (``CHAR_BITS`` per character);
-* a delimiter or quote that the dialect leaves unexplained makes the field noise:
-  each costs as much as naming and spelling out the whole field once more. So
-  a dialect that explains all of them is beaten only by another that does.
-
-The n are counted over all parses of all fields (map-side aggregated, by value
-hash); the parses of fields that allow several are joined with them, summed up
-per field text, and the cheapest is kept.
-
-What is inside quotes or brackets is never divided; one pair of brackets around
-the whole field only marks the list.
-
-Scale: three narrow shuffles (value counts, values of undecided parses, decided
-texts). A text that fills a third of all rows is pre-aggregated in the counts
-and is on the splittable side of both joins; nothing is collected.
+A dialect says which classes of delimiters divide, and whether and how quotes
+enclose. Every distinct field text is parsed under all dialects that its
+characters allow; parses that agree are one. The code length of a parse is
+
+* for each value either the name of a known one, log2(T / n) bits for a value that
+  n texts may hold among the column's T places, with its n-th part of spelling it
+  out once, or a new value spelled out (``NEW_BITS``). Spelling takes
+  ``CHAR_BITS``, about the entropy of prose and identifiers, per character and for
+  the value's end; a delimiter that the dialect leaves in a value costs what such
+  characters cost in this column;
+* for each quote that the dialect leaves as text what these cost in this column, every
+  time anew, as quoting belongs to the writing of a field and not to its values;
+* the dialect: for each delimiter class that the text holds, and for its quotes,
+  whether they divide (enclose) or are text.
+
+Both kinds of cost of delimiters are learned per column, as minus log2 of how
+often they are text, in ``ROUNDS`` rounds that choose the cheapest parses and
+count anew. So in a column ``Smith, John; Doe, Jane`` whose pairs recur the comma
+comes out as text, in one of lists with commas it divides.
+
+The n are counted over all parses of all distinct texts, once per text
+(map-side aggregated, by value hash). What is inside quotes or brackets is never
+divided; one pair of brackets around the whole field only marks the list.
+
+Scale: texts are made distinct map-side and parsed once, into a table in the
+shared folder. Values, sums of parses and decided texts each take a narrow
+shuffle; only the rounds' counts, one per column and class, reach the driver. A
+text that fills a third of all rows is one row up to the last join, whose row
+side adaptive execution may split. A text with d classes of delimiters has up
+to 2^d parses, all of which are weighed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import reduce
 from math import log2
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-CHAR_BITS = 5
-VALUE_BITS = 8
+from thicket.session import stored
+
+CHAR_BITS, NEW_BITS = 2, 2
+#: Rounds in which the bits of dialects are learned.
+ROUNDS = 3
+#: Texts in which each class is taken to divide, and to be text, before any is seen.
+PRIOR = {"div": 2.0, "text": 1.0}
+#: Characters without a delimiter or quote as text that a column is taken to have beside its own.
+PRIOR_CHARS = 1_000
 #: Classes of delimiters; characters of one class are the same delimiter.
 DELIMITERS = {
     ",": "comma", ";": "semicolon", "|": "pipe", "\n": "line", "\r": "line", "\t": "tab", " ": "blank", " ": "blank",
@@ -45,6 +61,9 @@ BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">", "（": "）", "【": "】",
 QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’"}
 _CLOSERS = {c: o for o, c in BRACKETS.items()}
 _SPECIAL = re.compile("[" + re.escape("".join({*DELIMITERS, *BRACKETS, *_CLOSERS, *QUOTES})) + "]")
+#: What a dialect decides on: each class of delimiters, and quotes.
+CLASSES = [*dict.fromkeys(DELIMITERS.values()), "quote"]
+_BIT = {c: 1 << i for i, c in enumerate(CLASSES)}
 #: Ways to write a quote inside quotes.
 DOUBLED, BACKSLASH, UNQUOTED = "doubled", "backslash", "unquoted"
 
@@ -111,74 +130,122 @@ def _unquote(item: str, mode: str) -> str:
     return inner.replace("\\" + q, q) if mode == BACKSLASH else inner.replace(q + q, q) if q == item[0] else inner
 
 
-@lru_cache(maxsize=20_000)
-def parses(text: str, blanks_divide: bool) -> list[tuple[int, int, tuple[str, ...]]]:
-    """Distinct parses of a field as (delimiters and quotes left as text, bits of the dialect, values), the first the cheapest of its values."""
+class _Scanned:
+    """A field under one way of quoting, ready to be divided."""
+
+    def __init__(self, body: str, mode: str, blanks_divide: bool):
+        found, brackets, quotes, loose = scan(body, mode)
+        if len(brackets) == 1 and brackets[0] == (0, len(body) - 1):
+            body = body[1:-1]
+            found, brackets, quotes, loose = scan(body, mode)
+        self.part, self.mode, self.quotes, self.loose = body, mode, quotes, loose
+        self.found = found if blanks_divide else [x for x in found if x[1] != "blank"]
+        self.classes = list(dict.fromkeys(c for _, c in self.found))
+
+    def divide(self, chosen: set[str]) -> tuple[list[str], list[int], int, int, int]:
+        """Values, how many delimiters each holds as text, the quotes left as text, and the classes that divide and that are text as bits."""
+        part, quotes = self.part, self.quotes
+        cuts = [p for p, c in self.found if c in chosen]
+        strict = bool(quotes) or len(cuts) < len(self.found)  # else nothing can be left as text
+        items, free, loose, at, near, a = [], [], self.loose, 0, 0, 0
+        div, text = sum(_BIT[c] for c in chosen), 0
+        n_found, n_quotes = len(self.found), len(quotes)
+        for b in (*cuts, len(part)):
+            item, n = part[a:b].strip(), 0
+            if item and strict:
+                start = part.index(item[0], a)
+                end = start + len(item)
+                while at < n_found and self.found[at][0] < end:
+                    p, c = self.found[at]
+                    if p >= start and c not in chosen:
+                        text |= _BIT[c]
+                        n += 1
+                    at += 1
+                while near < n_quotes and quotes[near][1] < end:  # quotes are to enclose a value
+                    if quotes[near] == (start, end - 1):
+                        div |= _BIT["quote"]
+                    else:
+                        loose += 2
+                    near += 1
+            a = b + 1
+            if item and item[0] in QUOTES:
+                item = _unquote(item, self.mode)
+            if item:
+                items.append(item)
+                free.append(n)
+        if loose:
+            text |= _BIT["quote"]
+        return items, free, loose, div & ~text, text
+
+
+#: Classes in a text up to which its parses are kept at once; beyond, they are made a second time.
+_AT_ONCE = 5
+
+
+def parses(text: str, blanks_divide: bool) -> Iterator[tuple[int, int, list[str], list[int], int, int, int, int]]:
+    """Distinct parses of a field.
+
+    (how many classes are text, bits of the escape, values, delimiters left in each, quotes left, dividing classes, classes left as text, number of parses).
+
+    The first leaves the fewest classes as text. Blank texts have one parse without values.
+    """
     if not (body := text.strip()):
-        return [(0, 0, ())]
+        yield 0, 0, [], [], 0, 0, 0, 1
+        return
     if not _SPECIAL.search(body):
-        return [(0, 0, (body,))]
-    scans = {mode: scan(body, mode) for mode in [DOUBLED] + [BACKSLASH] * ("\\" in body)}
-    if all(x[3] for x in scans.values()):
-        scans[UNQUOTED] = scan(body, UNQUOTED)
-    best: dict[tuple[str, ...], tuple[int, int]] = {}
-    for mode, (found, brackets, quotes, loose) in scans.items():
-        part = body
-        if len(brackets) == 1 and brackets[0] == (0, len(part) - 1):
-            part = part[1:-1]
-            found, brackets, quotes, loose = scan(part, mode)
-        if not blanks_divide:
-            found = [x for x in found if x[1] != "blank"]
-        classes = list(dict.fromkeys(c for _, c in found))
-        n_found, n_quotes = len(found), len(quotes)
-        if len(classes) <= 3:
-            sets = [{c for b, c in enumerate(classes) if bits >> b & 1} for bits in range(2 ** len(classes))]
-        else:
-            sets = [set(classes), set(), *({*classes} - {c} for c in classes), *({c} for c in classes)]
-        for chosen in sets:
-            cuts = [p for p, c in found if c in chosen]
-            strict = bool(quotes) or len(cuts) < len(found)  # else nothing can be left as text
-            items, left, at, near, a = [], loose, 0, 0, 0
-            for b in (*cuts, len(part)):
-                item = part[a:b].strip()
-                if item and strict:
-                    start = part.index(item[0], a)
-                    end = start + len(item)
-                    while at < n_found and found[at][0] < end:
-                        left += found[at][0] >= start and found[at][1] not in chosen
-                        at += 1
-                    while near < n_quotes and quotes[near][1] < end:  # quotes are to enclose a value
-                        left += quotes[near] != (start, end - 1)
-                        near += 1
-                a = b + 1
-                if item and item[0] in QUOTES:
-                    item = _unquote(item, mode)
-                if item:
-                    items.append(item)
-            cost = (left, 2 * len(chosen) + 2 * (mode != DOUBLED))
-            key = tuple(items)
-            if key not in best or cost < best[key]:
-                best[key] = cost
-    return [(*cost, items) for items, cost in sorted(best.items(), key=lambda x: (x[1], x[0]))]
-
-
-_PARSED = "field int, row_id long, k1 long, k2 int, parse int, n_parses int, n_left int, bits int, chars int, items array<string>"
+        yield 0, 0, [body], [0], 0, 0, 0, 1
+        return
+    modes = [DOUBLED] + [BACKSLASH] * ("\\" in body) + [UNQUOTED] * any(q in body for q in QUOTES)
+    best: dict[object, tuple] = {}
+    for mode in modes:
+        s = _Scanned(body, mode, blanks_divide)
+        many = len(s.classes) > _AT_ONCE
+        for bits in range(2 ** len(s.classes)):
+            chosen = {c for b, c in enumerate(s.classes) if bits >> b & 1}
+            items, free, loose, div, left = s.divide(chosen)
+            cost = (left.bit_count(), div.bit_count(), modes.index(mode), bits)
+            key = hashlib.md5("\0".join(items).encode("utf-8", "surrogatepass")).digest() if many else tuple(items)
+            if key not in best or cost < best[key][0]:
+                best[key] = (cost, s, chosen, None if many else (items, free, loose, div, left))
+    for cost, s, chosen, made in sorted(best.values(), key=lambda x: x[0]):
+        items, free, loose, div, left = made or s.divide(chosen)
+        yield cost[0], 2 * (s.mode == BACKSLASH), items, free, loose, div, left, len(best)
+
+
+_PARSED = "field int, k1 long, k2 int, parse int, n_parses int, div int, text int, bits int, loose int, items array<string>, free array<int>, fresh array<string>"
+#: Characters of values after which a batch is sent.
+_BATCH_CHARS = 4_000_000
 
 
 def _parser(blanks: Sequence[bool]):
+    kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 7, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    names = [x.split()[0] for x in _PARSED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+        chars = 0
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
+            for o in out:
+                o.clear()
+            return made
+
         for batch in batches:
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            out: list[list] = [[] for _ in range(10)]
-            for field, row_id, k1, k2, text in zip(*(cols[c] for c in ("field", "row_id", "k1", "k2", "text"))):
-                got = parses(text, blanks[field])
-                for i, (left, bits, items) in enumerate(got):
-                    if items or len(got) > 1:
-                        for o, v in zip(out, (field, row_id, k1, k2, i, len(got), left, bits, len(text), items)):
+            for field, k1, k2, text in zip(*(cols[c] for c in ("field", "k1", "k2", "text"))):
+                seen: set[str] = set()
+                for i, (_, bits, items, free, loose, div, left, n) in enumerate(parses(text, blanks[field])):
+                    if items or n > 1:
+                        fresh = [*dict.fromkeys(x for x in items if x not in seen)]
+                        seen.update(fresh)
+                        for o, v in zip(out, (field, k1, k2, i, n, div, left, bits, loose, items, free, fresh)):
                             o.append(v)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            names = [x.split()[0] for x in _PARSED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
+                        chars += len(text) + 50
+                        if chars > _BATCH_CHARS:
+                            yield flush()
+                            chars = 0
+        yield flush()
 
     return run
 
@@ -189,29 +256,31 @@ def split_packed(fields: Sequence[tuple[DataFrame, str, str, str, bool]]) -> Dat
     ``fields`` lists (table, its name, id column, column, whether blanks divide).
     ``pos`` counts the non-empty values of a field from 1. Null and blank fields
     and empty lists give no row; unbalanced quotes and brackets are text; rows
-    with equal or null ids are each split. One action counts the rows of the tables.
+    with equal or null ids are each split; other columns may have any name.
+    Runs a few actions: the parses, the weights of those that are not alone and the
+    decided texts are written to the shared folder.
     """
-    frames, n_fields = [], 0
+    frames = []
     for i, (df, _, row_id, column, _) in enumerate(fields):
         c = F.col(f"`{column}`")
-        n_fields += df.count()
         frames.append(
             df.where(c.isNotNull() & (F.trim(c) != "")).select(
                 F.lit(i).alias("field"), F.col(f"`{row_id}`").cast("long").alias("row_id"), F.xxhash64(F.lit(i), c).alias("k1"), F.hash(c).alias("k2"), c.alias("text")
             )
         )
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    parsed = rows.mapInArrow(_parser([f[4] for f in fields]), _PARSED)
-    chosen = cheapest(parsed, max(1, n_fields))
-    # one pass for decided and undecided fields alike; those with a single parse meet no partner
-    kept = parsed.join(chosen.withColumn("kept", F.lit(True)), ["k1", "k2", "parse"], "left").where(
-        (F.col("n_parses") == 1) | F.col("kept")
-    )
+    rows = reduce(DataFrame.unionByName, frames)
+    keys = F.xxhash64("field", "text").alias("k1"), F.hash("text").alias("k2")
+    texts = rows.select("field", "text").distinct().select("field", *keys, "text")
+    parsed = stored(texts.mapInArrow(_parser([f[4] for f in fields]), _PARSED))
+    chosen = cheapest(parsed, len(fields))
+    alone = parsed.where("n_parses = 1").select("k1", "k2", "items")
+    won = parsed.where("n_parses > 1").join(chosen, ["k1", "k2", "parse"], "left_semi").select("k1", "k2", "items")
+    decided = stored(alone.unionByName(won))
     names = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for _, t, _, c, _ in fields])
     return (
-        kept.select(F.element_at(names, F.col("field") + 1).alias("n"), "row_id", F.posexplode("items").alias("i", "item"))
+        rows.drop("text")
+        .join(decided, ["k1", "k2"])
+        .select(F.element_at(names, F.col("field") + 1).alias("n"), "row_id", F.posexplode("items").alias("i", "item"))
         .select(F.col("n.t").alias("table_name"), F.col("n.c").alias("column_name"), "row_id", (F.col("i") + 1).alias("pos"), "item")
     )
 
@@ -220,27 +289,73 @@ def _value(field: Column, item: Column) -> Column:
     return F.xxhash64(field, item)
 
 
-def cheapest(parsed: DataFrame, n_fields: int) -> DataFrame:
-    """(k1, k2, parse) of least code length for every field text that allows several parses; ties go to the first."""
-    whole = float(log2(max(2, n_fields)))
-    each = parsed.select("field", F.explode("items").alias("item"))
+def _per_field(values: list[float]) -> Column:
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("field") + 1)
+
+
+def weights(parsed: DataFrame, places: dict[int, int], n_fields: int) -> DataFrame:
+    """(k1, k2, field, parses: array of parse, div, text, bits, free, loose) of the texts that allow several parses.
+
+    The bits leave out the dialect, the ``free`` delimiters, those that are text, each counted by the share of a spelling that it takes, and the ``loose`` quotes.
+    """
+    each = parsed.select("field", F.explode("fresh").alias("item"))
     counts = each.groupBy("field", _value(F.col("field"), F.col("item")).alias("v")).agg(F.count(F.lit(1)).alias("n")).drop("field")
-    noise = F.lit(whole + 1 + VALUE_BITS) + F.lit(CHAR_BITS) * F.col("chars")
-    base = F.col("bits") + F.col("n_left") * noise
-    open_ = parsed.where("n_parses > 1").select(
-        "k1", "k2", "parse", base.alias("base"), F.posexplode_outer("items").alias("i", "item"), "field"
-    )
-    open_ = open_.select(
-        "k1", "k2", "parse", F.when(F.coalesce(F.col("i"), F.lit(0)) == 0, F.col("base")).otherwise(0.0).alias("base"),
-        F.coalesce(F.length("item"), F.lit(0)).alias("chars"), _value(F.col("field"), F.col("item")).alias("v"),
-    )
-    spelled = (F.lit(VALUE_BITS) + F.lit(CHAR_BITS) * F.col("chars")) / F.col("n")
-    named = F.greatest(F.lit(whole) - F.log2("n"), F.lit(0.0))
-    cost = F.col("base") + F.when(F.col("n").isNotNull(), named + spelled).otherwise(F.lit(0.0))
+    own = ["k1", "k2", "field", "parse", "div", "text", "bits", "loose"]
+    several = parsed.where("n_parses > 1").select(*own, F.explode_outer(F.arrays_zip("items", "free")).alias("x"))
+    spelled = F.lit(CHAR_BITS) * (F.length("x.items") + F.lit(1) - F.col("x.free"))
+    several = several.select(*own, spelled.alias("spelled"), F.col("x.free").alias("free"), _value(F.col("field"), F.col("x.items")).alias("v"))
+    whole = _per_field([log2(max(2, places.get(i, 0))) for i in range(n_fields)])
+    named, new = F.greatest(whole - F.log2("n"), F.lit(0.0)) + F.col("spelled") / F.col("n"), F.lit(NEW_BITS) + F.col("spelled")
+    known = (F.col("n") > 1) & (named <= new)
     return (
-        open_.join(counts, "v", "left")
-        .groupBy("k1", "k2", "parse")
-        .agg(F.sum(cost).alias("bits"))
-        .groupBy("k1", "k2")
-        .agg(F.min_by("parse", F.struct(F.round("bits", 6), F.col("parse"))).alias("parse"))
+        several.join(counts, "v", "left")
+        .groupBy(*own)
+        .agg(F.coalesce(F.sum(F.when(known, named).otherwise(new)), F.lit(0.0)).alias("values"), F.coalesce(F.sum(F.when(known, F.col("free") / F.col("n")).otherwise(F.col("free"))), F.lit(0.0)).alias("free"))
+        .groupBy("k1", "k2", "field")
+        .agg(F.collect_list(F.struct("parse", "div", "text", (F.col("bits") + F.col("values")).alias("bits"), "free", "loose")).alias("parses"))
     )
+
+
+def _winner(bits: dict[tuple[int, int, str], float], free: list[float], loose: list[float], n_fields: int) -> Column:
+    """The cheapest of ``parses`` with the bits of (field, class, how), of free delimiters and of loose quotes; ties go to the first parse."""
+
+    def table(how: str) -> Column:
+        per = [F.array(*[F.lit(bits[i, c, how]) for c in range(len(CLASSES))]) for i in range(n_fields)]
+        return F.element_at(F.array(*per), F.col("field") + 1)
+
+    div, text, delimiter, quote = table("div"), table("text"), _per_field(free), _per_field(loose)
+
+    def whole(p: Column) -> Column:
+        own = [F.getbit(p[how], F.lit(c)).cast("double") * t[c] for how, t in (("div", div), ("text", text)) for c in range(len(CLASSES))]
+        cost = reduce(Column.__add__, own, p["bits"] + p["free"] * delimiter + p["loose"] * quote)
+        return F.struct(F.round(cost, 6).alias("bits"), p["parse"].alias("parse"), p["div"].alias("div"), p["text"].alias("text"))
+
+    return F.array_min(F.transform("parses", whole))
+
+
+def cheapest(parsed: DataFrame, n_fields: int) -> DataFrame:
+    """(k1, k2, parse) of least code length for every text that allows several parses."""
+    chars = F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x))
+    size = parsed.where("parse = 0").groupBy("field").agg(F.sum(F.size("items")).alias("places"), F.sum(chars).alias("chars")).collect()
+    weighed = stored(weights(parsed, {r.field: r.places for r in size}, n_fields))
+
+    def learned(n: dict[tuple[int, int, str], int]) -> tuple[dict[tuple[int, int, str], float], list[float], list[float]]:
+        seen = {k: n.get(k, 0) + PRIOR[k[2]] for k in ((i, c, how) for i in range(n_fields) for c in range(len(CLASSES)) for how in PRIOR)}
+        bits = {(i, c, how): -log2(v / (seen[i, c, "div"] + seen[i, c, "text"])) for (i, c, how), v in seen.items()}
+        free, loose, quote = [1.0] * n_fields, [1.0] * n_fields, len(CLASSES) - 1
+        for r in size:
+            quotes = n.get((r.field, quote, "text"), 0)
+            others = sum(v for (i, c, how), v in n.items() if i == r.field and how == "text" and c != quote)
+            free[r.field], loose[r.field] = (max(1.0, log2((PRIOR_CHARS + r.chars) / (0.5 + x))) for x in (others, quotes))
+        return bits, free, loose
+
+    costs, before = learned({}), None
+    for _ in range(ROUNDS):
+        won = weighed.select("field", _winner(*costs, n_fields).alias("w"))
+        told = [F.when(F.getbit(F.col(f"w.{how}"), F.lit(c)) == 1, F.struct(F.lit(c).alias("c"), F.lit(how).alias("how"))) for how in PRIOR for c in range(len(CLASSES))]
+        rows = won.select("field", F.explode(F.array_compact(F.array(*told))).alias("t")).groupBy("field", "t.c", "t.how").count().collect()
+        now = {(r["field"], r["c"], r["how"]): r["count"] for r in rows}
+        if now == before:
+            break
+        costs, before = learned(now), now
+    return weighed.select("k1", "k2", _winner(*costs, n_fields)["parse"].alias("parse"))
