@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +81,44 @@ def test_contains_join(spark):
     assert got == [(1, "order"), (2, "ab"), (2, "b"), (5, "order")]
 
 
+def test_contains_join_beyond_the_automaton(spark):
+    """The way of the rarest piece gives what the automaton gives, also where all needles begin alike."""
+    held = [(i, f"com.shop.order.O{i % 7}:run com/path/{i}", "x") for i in range(60)] + [(99, "ab", "x")]
+    words = [("com", 1), ("com.shop", 2), ("com.shop.order.O3", 3), ("path/5", 4), ("b", 5), ("com.none", 6), ("path/5", 7)]
+    texts, needles = spark.createDataFrame(held, "id int, text string, other string"), spark.createDataFrame(words, "w string, k int")
+    one, two = (sorted((r.id, r.w, r.k) for r in joins.contains_join(texts, "text", needles, "w", n).collect()) for n in (10_000, 0))
+    assert one == two == sorted((i, w, k) for i, t, _ in held for w, k in words if w in t)
+
+
+def test_template_join(spark):
+    requests = spark.createDataFrame([(1, "GET", "/a/1/b"), (2, "GET", "/a/1/c"), (3, "PUT", "/a/1/b"), (4, "GET", None), (5, "GET", "/x"), (1, "GET", "/a/1/b")], "id int, m string, p string")
+    templates = spark.createDataFrame([("GET", "/a/{id}/b", 1), ("GET", "/a/{id}/{x}", 2), ("GET", "{r}/{s}/{t}/{u}", 3), ("PUT", "/a/{id}", 4), ("GET", "/x", 5), ("GET", None, 6), ("GET", "/x", 7)], "m string, t string, k int")
+    got = sorted((r.id, r.k) for r in joins.template_join(requests, "p", templates, "t", ["m"]).collect())
+    assert got == sorted([(1, 1), (1, 2), (1, 3)] * 2 + [(2, 2), (2, 3), (5, 5), (5, 7)])
+
+
+def test_asof_join_of_a_hot_key(spark):
+    """One key over many ranges finds what a loop finds."""
+    at = lambda h: datetime(2025, 1, 1) + timedelta(hours=h)
+    right = [("k", at(7 * i), f"v{i}", i) for i in range(100)]
+    left = [(i, "k", at(i)) for i in range(700)]
+    a, b = spark.createDataFrame(left, "id int, k string, at timestamp"), spark.createDataFrame(right, "k string, at timestamp, v string, seq int")
+    got = {r.id: r.v for r in joins.asof_join(a, b, ["k"], "at", ["v"], "seq", partitions=9).collect()}
+    assert got == {i: f"v{i // 7}" for i in range(700)}
+
+
+def test_generated_stubs(spark):
+    rows = [("a.B$CStub:<init>(x)", True), ("a.B$CStub:withDeadline(x)", True), ("a.B$CStub:call(x)", False), ("a.BGrpc:<clinit>()", True), ("a.B:<init>()", False), (None, None)]
+    df = spark.createDataFrame(rows, "m string, w boolean")
+    assert all(r.g == r.w for r in df.select("w", pr.is_generated_method(F.col("m")).alias("g")).collect())
+
+
+def test_business_constants(spark):
+    rows = [("Order.PAID", True), ("12.5", False), ("调用支付", False), ("订单", False), ("订单号", False), ("订单号 A", True), ("a:bc", True), ("a:b", False), ("a: bc", False), ("warn it failed", False), ("it failed", True), ("x" * 40, True), ("x" * 41, False), ("/api/x y", True), ("is empty {}", False), ("--_", False), (None, False)]
+    df = spark.createDataFrame(rows, "c string, w boolean")
+    assert [(r.c, r.g) for r in df.select("c", "w", pr.is_business_constant(F.col("c")).alias("g")).collect() if r.g != rows[[x[0] for x in rows].index(r.c)][1]] == []
+
+
 def test_asof_join(spark):
     d = lambda mo, da: datetime(2025, mo, da)
     left = spark.createDataFrame([(1, "k", d(1, 5)), (2, "k", d(3, 1)), (3, "k", d(1, 1)), (4, "x", d(3, 1)), (5, None, d(3, 1)), (6, "k", None)], "id int, k string, at timestamp")

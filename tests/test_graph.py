@@ -135,3 +135,10 @@ def test_null_nodes_are_not_entered(spark):
     e = spark.createDataFrame([("a", None), (None, "b"), ("a", "b")], "caller string, callee string")
     s = spark.createDataFrame([("a",), (None,)], "node string")
     assert {tuple(r) for r in graph.reach(graph.arrows(e), s).select("node", F.col("depth")).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_ancestors_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(100)], "child string, parent string")
+    got = graph.ancestors(chain)
+    assert got.count() == 100 * 101 // 2 and got.agg({"distance": "max"}).first()[0] == 100
+    assert graph.ancestors(chain, 3).count() == 100 + 99 + 98

@@ -97,6 +97,17 @@ def test_orphans_read_only_what_they_need(spark, data):
     assert read and not any("field_class" in r or "annotations" in r for r in read)
 
 
+def test_periods_are_in_utc(spark):
+    at = datetime(2025, 1, 31, 23, 30)  # in the session's zone, UTC
+    df = spark.createDataFrame([(at,), (None,), (datetime(1969, 12, 31, 23),)], "at timestamp")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert {r.p for r in df.select(orphans.period(F.col("at")).alias("p")).collect()} == {"2025-01", None, "1969-12"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 # --- packed fields -----------------------------------------------------------------------
 
 
@@ -286,6 +297,19 @@ def test_bodies_the_parser_refuses(spark):
     ]
 
 
+def test_leaf_values(spark):
+    body = '{"a": 1, "l": [1, "x", null, [true], {"b": "c"}], "t": "[7]"}'
+    twice = '{"a": 1, "a": {"b": [2]}}'
+    df = spark.createDataFrame([(1, body), (2, twice), (3, None), (4, "[")], "id long, q string")
+    got = {}
+    for r in nested.leaf_values(df, ["id"], "q").collect():
+        got.setdefault(r.id, set()).add((r.path, r.value))
+    assert got == {
+        1: {("$.a", "1"), ("$.l[0]", "1"), ("$.l[1]", "x"), ("$.l[2]", None), ("$.l[3][0]", "true"), ("$.l[4].b", "c"), ("$.t[0]", "7")},
+        2: {("$.a", "1"), ("$.a.b[0]", "2")},
+    }
+
+
 def test_exact_reader_as_the_library():
     good = ["0", "-1.5e+3", '"a\\u00e9\\n"', "[]", "{}", ' {"a" : [1, "b", null, {"c": {}}], "": true} ', '["\\ud800"]', "[[[[]]]]"]
     bad = ["", " ", "01", "1.", "-", "+1", '"\t"', '"\\x"', "[1,]", "[,1]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "{,}", "{1:2}", "]", "[}", "{]", "[1] 2", "nul", "NaN", "[", '{"a":1', "'a'", ":", '{"a"::1}']

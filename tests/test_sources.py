@@ -93,6 +93,20 @@ def test_curl(spark):
     assert got[3] is None and got[4] is None
 
 
+def test_curl_words(spark):
+    texts = [
+        "curl\t--header \"A: b \\\"c\\\"\" -XPUT --url 'https://h.x/a b' -d 'it'\\''s' -d y=2 -o /tmp/x://y",
+        "curl -H 'k: 1' -H k:2 -H bad https://h.x",
+        "curl 'https://h.x/open",
+    ]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(capture.parse_curl(F.col("t")).alias("c")).collect()]
+    assert tuple(got[0]) == ("PUT", "/a b", "https://h.x/a b", {"A": 'b "c"'}, "it's&y=2")
+    assert tuple(got[1]) == ("GET", "/", "https://h.x", {"k": "2"}, None)
+    assert got[2].url == "/open"
+    df = spark.createDataFrame([(texts[0],), ("[" * 1200 + "]" * 1200,), ('{"a": 1, "a": 2}',), ('{"a": 1, "a": 2',)], "t string")
+    assert [tuple(r) for r in df.select(capture.is_curl(F.col("t")), capture.is_json(F.col("t"))).collect()] == [(True, False), (False, True), (False, True), (False, False)]
+
+
 def test_sniffing(spark):
     rows = ["curl -X GET x", '{"a": 1}', "[1]", '{"a": 1} x', "text", "", None, "3"]
     df = spark.createDataFrame([(t,) for t in rows], "t string")

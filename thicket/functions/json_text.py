@@ -89,8 +89,8 @@ def _entered(value: object) -> object:
     return value
 
 
-def walk(body: str) -> Iterator[tuple[str, str, bool, Members]]:
-    """(path, owner_path, is list element, members) of every object of a body, texts that are JSON entered; nothing if invalid."""
+def walk(body: str) -> Iterator[tuple[str, str, bool, list]]:
+    """(path, owner_path, is list element, content) of every object and list of a body, texts that are JSON entered; nothing if invalid."""
     try:
         stack = [("$", "$", False, _entered(parse(body)))]
     except ValueError:
@@ -103,19 +103,35 @@ def walk(body: str) -> Iterator[tuple[str, str, bool, Members]]:
             mine = path if element else owner
             stack += [(f"{path}.{k}", mine, False, v) for k, v in value if isinstance(v, list)]
         elif isinstance(value, list):
-            stack += [(f"{path}[{i}]", owner, True, e) for i, v in enumerate(value) if isinstance(e := _entered(v), list)]
+            value = [_entered(v) for v in value]
+            yield path, owner, element, value
+            stack += [(f"{path}[{i}]", owner, True, v) for i, v in enumerate(value) if isinstance(v, list)]
+
+
+def _text(value: str) -> str | None:
+    return None if isinstance(value, Plain) and value == "null" else str(value)
 
 
 def list_objects(body: str) -> list[tuple[str, str, int]]:
     """(path, owner_path, n_members) of the objects that are list elements."""
-    return [(path, owner, len(members)) for path, owner, element, members in walk(body) if element]
+    return [(path, owner, len(x)) for path, owner, element, x in walk(body) if element and isinstance(x, Members)]
 
 
 def object_fields(body: str) -> list[tuple[str, str, str, str | None]]:
     """(object_path, owner_path, name, value) of the plain members of all objects; numbers as written, null for JSON's null."""
     return [
-        (path, path if element else owner, k, None if isinstance(v, Plain) and v == "null" else str(v))
-        for path, owner, element, members in walk(body)
-        for k, v in members
+        (path, path if element else owner, k, _text(v))
+        for path, owner, element, x in walk(body)
+        if isinstance(x, Members)
+        for k, v in x
         if not isinstance(v, list)
     ]
+
+
+def leaves(body: str) -> list[tuple[str, str | None]]:
+    """(path, value) of the plain members of all objects and the plain elements of all lists."""
+    out = []
+    for path, _, _, x in walk(body):
+        named = [(f".{k}", v) for k, v in x] if isinstance(x, Members) else [(f"[{i}]", v) for i, v in enumerate(x)]
+        out += [(path + at, _text(v)) for at, v in named if not isinstance(v, list)]
+    return out

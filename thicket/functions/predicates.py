@@ -66,54 +66,45 @@ def is_inheritance(call_type: Column) -> Column:
     return call_type.isin(INHERITANCE)
 
 
+#: What is generated or boilerplate, by the part of a signature ``class:method(arguments)`` that tells it, as patterns; the words in them
+#: are fixed values. ``class`` patterns look at the whole class, ``stub`` at methods of generated stubs, ``method`` at all.
+SHAPES = {
+    "class": [
+        r"^(?:io\.grpc|com\.google\.protobuf)\.",
+        r"\.(?:api\.client\.model|api\.grpc\.model|proto\.)",
+        r"(?:\$Builder|OrBuilder)$",
+        r"(?:^|\.)[^.$]*Grpc\d*$",
+        r"\$(?:MethodHandlers|AsyncService|[^.$]*(?:DescriptorSupplier|ImplBase))$",
+    ],
+    "stub": [r"\$[^.$:]*Stub:(?:<init>|getChannel|getCallOptions|with[^(:]*)(?:\(|$)"],
+    "method": [rf":(?:{'|'.join(GENERATED_METHODS)})(?:\(|$)"],
+    "constructor": [r":<(?:cl)?init>\("],
+    "object": [r":(?:equals|hashCode|toString)(?:\(|$)"],
+    "accessor": [r":(?:get|is)[^(:]*\(\)", r":set[^(:]*\([^,()]+\)"],
+}
+
+
+def _shaped(c: Column, *kinds: str) -> Column:
+    return c.rlike("|".join(f"(?:{p})" for k in kinds for p in SHAPES[k]))
+
+
 def is_generated_class(cls: Column) -> Column:
     """Classes of remoting and serialization frameworks and those generated for them."""
-    simple = sig.simple_class(cls)
-    inner = F.substring_index(simple, "$", -1)
-    nested = simple.contains("$")
-    return (
-        starts_with_any(cls, ["io.grpc.", "com.google.protobuf."])
-        | any_of([cls.contains(p) for p in (".api.client.model", ".api.grpc.model", ".proto.")])
-        | cls.endswith("$Builder")
-        | cls.endswith("OrBuilder")
-        | (~nested & simple.rlike(r"Grpc\d*$"))
-        | (nested & (inner.isin("MethodHandlers", "AsyncService") | inner.rlike("(DescriptorSupplier|ImplBase)$")))
-    )
+    return _shaped(cls, "class")
 
 
 def is_generated_method(full: Column) -> Column:
-    cls, name = sig.class_name(full), sig.method_name(full)
-    inner = F.substring_index(sig.simple_class(cls), "$", -1)
-    stub = sig.simple_class(cls).contains("$") & inner.endswith("Stub")
-    plumbing = name.isin("getChannel", "getCallOptions") | name.startswith("with")
-    return is_generated_class(cls) | (~is_constructor(full) & ((stub & plumbing) | name.isin(GENERATED_METHODS)))
+    """Methods of generated classes, plumbing and constructors of generated stubs, and methods only generated code has."""
+    return is_generated_class(sig.class_name(full)) | _shaped(full, "stub", "method")
 
 
 def is_constructor(full: Column) -> Column:
-    return full.contains(":<init>(") | full.contains(":<clinit>(")
-
-
-#: What :func:`is_boilerplate` looks for, as one pattern: generated classes, stub plumbing,
-#: constructors, object and generated methods, accessors.
-BOILERPLATE = "|".join(
-    [
-        r"^(?:io\.grpc\.|com\.google\.protobuf\.)",
-        r"\.(?:api\.client\.model|api\.grpc\.model|proto\.)[^:]*(?::|$)",
-        r"(?:\$Builder|OrBuilder|\$MethodHandlers|\$AsyncService)(?::|$)",
-        r"\$[^.$:]*(?:DescriptorSupplier|ImplBase)(?::|$)",
-        r"(?:^|\.)[^.$:]*Grpc\d*(?::|$)",
-        r"\$[^.$:]*Stub:(?:getChannel|getCallOptions|with[^(:]*)(?:\(|$)",
-        r":<(?:cl)?init>\(",
-        rf":(?:equals|hashCode|toString|{'|'.join(GENERATED_METHODS)})(?:\(|$)",
-        r":(?:get|is)[^(:]*\(\)",
-        r":set[^(:]*\([^,()]+\)",
-    ]
-)
+    return _shaped(full, "constructor")
 
 
 def is_boilerplate(full: Column) -> Column:
     """Constructors, object methods, true accessors and generated methods; null is none."""
-    return F.coalesce(full.rlike(BOILERPLATE), F.lit(False))
+    return F.coalesce(is_generated_method(full) | _shaped(full, "constructor", "object", "accessor"), F.lit(False))
 
 
 def is_data_carrier(cls: Column) -> Column:
@@ -133,19 +124,28 @@ def class_type(simple: Column) -> Column:
     return out
 
 
+#: Shapes of constants that mean something to the business, and of those that don't whatever else they look like. A constant has 3 to 100
+#: characters, one of the first and none of the second. Fixed values.
+TELLING = {
+    "reference to an enum constant": r"[A-Z]\w+\.[A-Z][A-Z0-9_]+",
+    "address": r"(?s)(?:https?://|/api/).*",
+    "key with a namespace": r"[^ ]{0,99}:[^ ]{0,99}(?<=.{4})",
+    "name": r"[a-zA-Z][a-zA-Z0-9_]{0,39}",
+    "Chinese text": r"(?s).*[一-鿿].*",
+    "message of a failure": r"(?is).*(?:is empty|not found|invalid|error|failed).*",
+}
+IDLE = {
+    "number": r"-?\d+(?:\.\d+)?",
+    "nothing but punctuation or letters outside ASCII": r"[\W\s_]+",
+    "text with a placeholder": r"(?s).*\{\}.*",
+    "text of a log": r"(?is)(?:call |response|调用|(?:debug|info|warn|error|trace)\b).*",
+}
+
+
 def is_business_constant(v: Column) -> Column:
-    """Constants that mean something to the business: references, addresses, keys and messages."""
-    n, lower = F.length(v), F.lower(v)
-    out = (
-        (n <= 2) | (n > 100) | v.rlike(r"^-?\d+(\.\d+)?$") | v.contains("{}") | v.rlike(r"^[\W\s_]+$")
-        | lower.startswith("call ") | lower.startswith("response") | lower.rlike(r"^(debug|info|warn|error|trace)\b")
-    )
-    kept = (
-        v.rlike(r"^[A-Z]\w+\.[A-Z][A-Z0-9_]+$") | v.rlike("^(http://|https://|/api/)")
-        | (v.contains(":") & ~v.contains(" ") & (n >= 4)) | (v.rlike("^[a-zA-Z][a-zA-Z0-9_]*$") & (n <= 40))
-        | v.rlike("[一-鿿]") | any_of([lower.contains(w) for w in ("is empty", "not found", "invalid", "error", "failed")])
-    )
-    return F.coalesce(~out & kept, F.lit(False))
+    """Constants that mean something to the business: see ``TELLING`` and ``IDLE``; null is none."""
+    any_shape = lambda shapes: v.rlike("^(?:" + "|".join(f"(?:{p})" for p in shapes.values()) + ")$")
+    return F.coalesce(F.length(v).between(3, 100) & any_shape(TELLING) & ~any_shape(IDLE), F.lit(False))
 
 
 def path_matches(path: Column, template: Column) -> Column:

@@ -177,11 +177,12 @@ def propagate(steps: DataFrame, own: DataFrame, hops: int) -> DataFrame:
     return seen.join(own.select("node"), "node", "left_anti")
 
 
-def ancestors(inheritance: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(child, ancestor, distance): the inheritance closure with least distances; cycles end."""
+def ancestors(inheritance: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(child, ancestor, distance): the inheritance closure with least distances, up to ``max_depth`` (none: all of it); cycles end."""
     level = cut_lineage(inheritance.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("distance", F.lit(1)))
-    seen = level
-    for distance in range(2, max_depth + 1):
+    seen, distance = level, 1
+    while max_depth is None or distance < max_depth:
+        distance += 1
         up = inheritance.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
         new = level.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
         level = cut_lineage(new.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
@@ -238,8 +239,9 @@ def package_tree(classes: DataFrame, by: Sequence[str]) -> DataFrame:
     return full.where(F.col("own") | ~F.col("most").eqNullSafe(F.col("n_classes"))).select(*by, "name", "level", "n_classes")
 
 
-def short_ref_targets(methods: DataFrame, refs: DataFrame, most: int = 10) -> DataFrame:
-    """Up to ``most`` signatures (ref, full_method, rank) for each ``Class.method`` of ``refs`` (ref), in name order."""
+def short_ref_targets(methods: DataFrame, refs: DataFrame, most: int | None = 10) -> DataFrame:
+    """Up to ``most`` signatures (none: all) as (ref, full_method, rank) for each ``Class.method`` of ``refs`` (ref), in name order."""
     known = methods.select("full_method", sig.short_ref(F.col("full_method")).alias("ref")).distinct()
     w = Window.partitionBy("ref").orderBy("full_method")
-    return known.join(refs.select("ref").distinct(), "ref", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    ranked = known.join(refs.select("ref").distinct(), "ref", "left_semi").withColumn("rank", F.row_number().over(w))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)

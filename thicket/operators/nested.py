@@ -50,21 +50,36 @@ def _open(value: str) -> str:
 #: Target tables: the type of their rows, and the SQL that takes them from the open containers ``b.t`` of a round.
 OBJECTS = "struct<path: string, owner_path: string, n_members: int>"
 FIELDS = "struct<object_path: string, owner_path: string, name: string, value: string>"
+LEAVES = "struct<path: string, value: string>"
 
 
 def _objects() -> str:
     return "transform(filter(b.t, x -> x.e and x.m is not null), x -> named_struct('path', x.p, 'owner_path', x.o, 'n_members', size(x.m)))"
 
 
+def _text(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
+
+
+def _plain(value: str) -> str:
+    inside = f"coalesce({_text(value)} rlike '{OPENS}' and {_parse(_text(value))} is not null, false)"
+    return f"try_variant_get({value}, '$', 'array<variant>') is null and try_variant_get({value}, '$', 'map<string,variant>') is null and not {inside}"
+
+
 def _fields() -> str:
-    text = "try_variant_get(kv.value, '$', 'string')"
-    inside = f"coalesce({text} rlike '{OPENS}' and {_parse(text)} is not null, false)"
-    plain = f"try_variant_get(kv.value, '$', 'array<variant>') is null and try_variant_get(kv.value, '$', 'map<string,variant>') is null and not {inside}"
-    row = f"named_struct('object_path', x.p, 'owner_path', if(x.e, x.p, x.o), 'name', kv.key, 'value', {text})"
-    return f"flatten(transform(filter(b.t, x -> x.m is not null), x -> transform(filter(map_entries(x.m), kv -> {plain}), kv -> {row})))"
+    row = f"named_struct('object_path', x.p, 'owner_path', if(x.e, x.p, x.o), 'name', kv.key, 'value', {_text('kv.value')})"
+    return f"flatten(transform(filter(b.t, x -> x.m is not null), x -> transform(filter(map_entries(x.m), kv -> {_plain('kv.value')}), kv -> {row})))"
 
 
-_TABLES = {OBJECTS: _objects, FIELDS: _fields}
+def _leaves() -> str:
+    row = lambda path, value: f"named_struct('path', {path}, 'value', {_text(value)})"
+    members = f"transform(filter(map_entries(x.m), kv -> {_plain('kv.value')}), kv -> {row("concat(x.p, '.', kv.key)", 'kv.value')})"
+    places = "transform(x.a, (c, i) -> named_struct('p', concat(x.p, '[', cast(i as string), ']'), 'v', c))"
+    elements = f"transform(filter({places}, y -> {_plain('y.v')}), y -> {row('y.p', 'y.v')})"
+    return f"flatten(transform(filter(b.t, x -> x.m is not null or x.a is not null), x -> if(x.m is not null, {members}, {elements})))"
+
+
+_TABLES = {OBJECTS: _objects, FIELDS: _fields, LEAVES: _leaves}
 
 
 def _walk(body: str, rows: str) -> str:
@@ -109,7 +124,7 @@ def _walked(body: str, rows: str) -> Column:
 
 def _exactly(rows: str) -> Callable[[Column], Column]:
     """The exact path: rows of a body by the reader without the parser's limits; null texts give null."""
-    read = {OBJECTS: json_text.list_objects, FIELDS: json_text.object_fields}[rows]
+    read = {OBJECTS: json_text.list_objects, FIELDS: json_text.object_fields, LEAVES: json_text.leaves}[rows]
     names = [x.split(":")[0].strip() for x in rows[len("struct<") : -1].split(",")]
 
     @F.pandas_udf(f"array<{rows}>")
@@ -146,6 +161,11 @@ def flatten_fields(df: DataFrame, keep: list[str], bodies: dict[str, str]) -> Da
     return _flatten(df, keep, bodies, FIELDS)
 
 
+def leaf_values(df: DataFrame, keep: list[str], body: str) -> DataFrame:
+    """All plain values wherever they stand: ``keep``, path, value (text, null for JSON's null); see :func:`flatten_bodies` for paths and bad bodies."""
+    return _flatten(df, keep, {"": body}, LEAVES).drop("side")
+
+
 def _flatten(df: DataFrame, keep: list[str], bodies: dict[str, str], rows: str) -> DataFrame:
     sides = list(bodies)
     walked = df.select(*keep, *[F.col(f"`{bodies[s]}`").alias(f"__b{i}") for i, s in enumerate(sides)])

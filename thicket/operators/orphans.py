@@ -63,8 +63,14 @@ def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return c.join(p, same & there, "left_anti")
 
 
+def period(at: Column) -> Column:
+    """yyyy-MM of an instant in UTC, whatever the session's zone."""
+    days = F.floor(F.unix_micros(at) / F.lit(86_400_000_000)).cast("int")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM")
+
+
 def orphan_rows(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """Rows of ``refs`` that point nowhere: (table_name, period, row_id); period is yyyy-MM in the session's zone.
+    """Rows of ``refs`` that point nowhere: (table_name, period, row_id); period is yyyy-MM in UTC.
 
     Repeated rows with ids of their own are all returned; an empty parent table
     makes every reference an orphan, an empty child table gives no row. A null
@@ -74,12 +80,12 @@ def orphan_rows(refs: DataFrame, parents: DataFrame) -> DataFrame:
     r, o = refs.alias("r"), orphan_keys(refs, parents).alias("o")
     same = reduce(Column.__and__, [F.col(f"r.{k}") == F.col(f"o.{k}") for k in keys])
     hit = r.join(o, same & F.col("r.at").eqNullSafe(F.col("o.at")), "left_semi")
-    return hit.select("table_name", F.date_format("at", "yyyy-MM").alias("period"), "row_id")
+    return hit.select("table_name", period(F.col("at")).alias("period"), "row_id")
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
     """Per table and period: rows that refer, rows that refer to nothing, and their share."""
-    seen = refs.groupBy("table_name", F.date_format("at", "yyyy-MM").alias("period")).agg(
+    seen = refs.groupBy("table_name", period(F.col("at")).alias("period")).agg(
         F.count(F.lit(1)).alias("n_references")
     )
     lost = orphans.groupBy("table_name", "period").agg(F.count(F.lit(1)).alias("n_orphans"))

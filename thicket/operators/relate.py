@@ -76,15 +76,17 @@ def citations(lines: DataFrame, methods: DataFrame, constants: DataFrame) -> Dat
     return hit.groupBy("full_method", "value").agg(F.min("line_no").alias("line_no"))
 
 
-def release_risks(changed: DataFrame, boundaries: DataFrame, most: int = 20) -> DataFrame:
+def release_risks(changed: DataFrame, boundaries: DataFrame, most: int | None = 20) -> DataFrame:
     """Methods of other repositories whose boundary names a changed address or table.
 
     ``changed`` is (from_repo, what), ``boundaries`` (repo_id, full_method, boundary_type, context); HTTP and DB count. At most
-    ``most`` per changed thing, in name order.
+    ``most`` per changed thing (none: all), in name order.
     """
     b = boundaries.where(F.col("boundary_type").isin("HTTP", "DB")).select("repo_id", "full_method", "boundary_type", "context").distinct()
     hit = joins.contains_join(b, "context", changed.select("from_repo", "what").distinct(), "what").where("repo_id <> from_repo")
     once = hit.select("from_repo", "what", "repo_id", "full_method", "boundary_type").distinct()
+    if most is None:
+        return once
     w = Window.partitionBy("from_repo", "what").orderBy("repo_id", "full_method", "boundary_type")
     return once.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 

@@ -47,12 +47,13 @@ def import_edges(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return one.unionByName(found.where("s <> ''").join(known, ["repo_id", "n"]).select(*FILE, "target_class")).distinct()
 
 
-def addresses(text: Column, most: int = 3) -> Column:
-    """The first ``most`` addresses a source text names: literals, ``${key}`` placeholders and property look-ups, joined by `` | ``."""
+def addresses(text: Column, most: int | None = 3) -> Column:
+    """The first ``most`` addresses (none: all) a source text names: literals, ``${key}`` placeholders and property look-ups, joined by `` | ``."""
     pattern = r'"(https?://[^"]+)"|\$\{([^}]+)\}|getProperty\s*\(\s*"([^"]+)"\s*\)'
     each = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
     merged = F.zip_with(F.zip_with(each[0], each[1], lambda a, b: F.concat(a, b)), each[2], lambda a, b: F.concat(a, b))
-    return F.array_join(F.slice(F.array_distinct(merged), 1, most), " | ")
+    found = F.array_distinct(merged)
+    return F.array_join(found if most is None else F.slice(found, 1, most), " | ")
 
 
 def comments(text: Column) -> Column:

@@ -152,24 +152,12 @@ def a17(spark, d):
 
 @R.query(
     "A18_W07_text_budget",
-    """SELECT repo_id, class_name, string_agg(method_name, ' ' ORDER BY method_name) AS summary FROM (SELECT repo_id, class_name, method_name, sum(length(method_name) + 1) OVER (PARTITION BY repo_id, class_name ORDER BY method_name) AS used
-FROM (SELECT DISTINCT repo_id, class_name, method_name FROM chunks)) WHERE used <= 80 GROUP BY 1, 2""",
-)
-def a18(spark, d):
-    m = table(spark, d, "chunks").select("repo_id", "class_name", "method_name").distinct()
-    w = Window.partitionBy("repo_id", "class_name").orderBy("method_name").rowsBetween(Window.unboundedPreceding, 0)
-    kept = m.withColumn("used", F.sum(F.length("method_name") + 1).over(w)).where("used <= 80")
-    return kept.groupBy("repo_id", "class_name").agg(F.array_join(F.array_sort(F.collect_list("method_name")), " ").alias("summary"))
-
-
-@R.query(
-    "A18_W07_text_budget_800",
     """SELECT repo_id, class_name, coalesce(string_agg(method_name, ' ' ORDER BY method_name) FILTER (WHERE before + length(method_name) <= 800), '') AS summary
 FROM (SELECT repo_id, class_name, method_name, coalesce(sum(length(method_name) + 1) OVER (PARTITION BY repo_id, class_name ORDER BY method_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS before
 FROM (SELECT DISTINCT repo_id, class_name, method_name FROM chunks WHERE method_name IS NOT NULL)) GROUP BY 1, 2""",
 )
-def a18_800(spark, d):
-    """With the reference's budget: a name is added while the text so far and the name have at most 800 characters, the blank between them aside."""
+def a18(spark, d):
+    """A name is added while the text so far and the name have at most 800 characters, the blank between them aside."""
     m = table(spark, d, "chunks").where("method_name is not null").select("repo_id", "class_name", "method_name").distinct()
     w = Window.partitionBy("repo_id", "class_name").orderBy("method_name").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length("method_name") + 1).over(w) - 1, F.lit(0))
@@ -358,14 +346,8 @@ def o01(spark, d):
     return b.orderBy(F.desc("n"), "full_method").limit(20)
 
 
-@R.query("O05_routes_first", "SELECT class_name, n_routes FROM (SELECT class_name, count(url_path) AS n_routes FROM api_endpoints GROUP BY 1) ORDER BY CASE WHEN n_routes = 0 THEN 1 ELSE 0 END, class_name LIMIT 30")
+@R.query("O05_routes_first", "SELECT class_name, n_routes FROM (SELECT class_name, count(url_path) AS n_routes FROM api_endpoints GROUP BY 1) ORDER BY CASE WHEN n_routes = 0 THEN 1 ELSE 0 END, class_name")
 def o05(spark, d):
-    """The first 30 rows of O05_routes_first_all."""
-    return o05_all(spark, d).limit(30)
-
-
-@R.query("O05_routes_first_all", "SELECT class_name, n_routes FROM (SELECT class_name, count(url_path) AS n_routes FROM api_endpoints GROUP BY 1) ORDER BY CASE WHEN n_routes = 0 THEN 1 ELSE 0 END, class_name")
-def o05_all(spark, d):
     c = table(spark, d, "api_endpoints").groupBy("class_name").agg(F.count("url_path").alias("n_routes"))
     return c.orderBy(F.when(F.col("n_routes") == 0, 1).otherwise(0), "class_name")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from thicket.functions import sig
-from thicket.operators import joins
+from thicket.operators import joins, nested
+from thicket.plans.problems import OPENED
 from thicket.plans.registry import Registry
 from thicket.plans.scalars import PARAMS
 from thicket.session import table
@@ -183,27 +184,29 @@ def j25(spark, d):
     return pairs.groupBy("url", "next_url").agg(F.count("*").alias("n"))
 
 
-_KV = '"(\\w+)" ?: ?("[^"\\\\]*"|-?\\d+\\.?\\d*)'
+_LEAVES = """CASE json_type({0}) WHEN 'OBJECT' THEN list_transform(map_entries({0}::MAP(VARCHAR, JSON)), lambda e: {{'path': path || '.' || e.key, 'v': e.value}})
+ WHEN 'ARRAY' THEN list_transform({0}::JSON[], lambda c, i: {{'path': path || '[' || (i - 1) || ']', 'v': c}}) END"""
 
 
 @R.query(
     "J26_shared_fields",
-    f"""WITH r AS (SELECT DISTINCT session_id, r.seq AS seq, r.request_body AS q, r.response_body AS p FROM (SELECT session_id, unnest(request_chain) AS r FROM request_chains)),
-a AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(p, '{_KV}', 0)) AS kv FROM r WHERE p IS NOT NULL),
-b AS (SELECT DISTINCT session_id, seq, unnest(regexp_extract_all(q, '{_KV}', 0)) AS kv FROM r WHERE q IS NOT NULL)
-SELECT a.session_id, a.seq, count(*) AS n_shared FROM a JOIN b ON a.session_id = b.session_id AND b.seq = a.seq + 1 AND replace(a.kv, ' ', '') = replace(b.kv, ' ', '') GROUP BY ALL""",
+    f"""WITH RECURSIVE r AS (SELECT DISTINCT session_id, r.seq AS seq, r.request_body AS q, r.response_body AS p FROM (SELECT session_id, unnest(request_chain) AS r FROM request_chains) WHERE r.success),
+b AS (SELECT session_id, seq, 'p' AS side, {OPENED.format('p::JSON')} AS v FROM r WHERE json_valid(p) UNION ALL SELECT session_id, seq - 1, 'q', {OPENED.format('q::JSON')} FROM r WHERE json_valid(q)),
+t AS (SELECT session_id, seq, side, '$' AS path, v FROM b UNION ALL SELECT session_id, seq, side, x.path, {OPENED.format('x.v')} FROM (SELECT session_id, seq, side, unnest({_LEAVES.format('v')}) AS x FROM t WHERE json_type(v) IN ('OBJECT', 'ARRAY'))),
+l AS (SELECT DISTINCT session_id, seq, side, path, v ->> '$' AS v FROM t WHERE v IS NOT NULL AND json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT a.session_id, a.seq, count(*) AS n_shared FROM l a JOIN l b USING (session_id, seq, path, v) WHERE a.side = 'p' AND b.side = 'q' GROUP BY ALL""",
 )
 def j26(spark, d):
-    part = F.arrays_zip("request_chain.seq", "request_chain.request_body", "request_chain.response_body")
-    r = table(spark, d, "request_chains").select("session_id", F.explode(part).alias("r")).select("session_id", "r.*")
+    """Equal values at equal paths of a successful request's answer and of the next successful request's body."""
+    part = F.arrays_zip("request_chain.seq", "request_chain.success", "request_chain.request_body", "request_chain.response_body")
+    r = table(spark, d, "request_chains").select("session_id", F.explode(part).alias("r")).select("session_id", "r.*").where("success").drop("success").distinct()
 
-    def fields(body, seq):
-        kv = F.explode(F.regexp_extract_all(body, F.lit(_KV), F.lit(0)))
-        rows = r.where(F.col(body).isNotNull()).select("session_id", seq.alias("seq"), kv.alias("kv")).distinct()
-        return rows.withColumn("same", F.replace("kv", F.lit(" "), F.lit("")))
+    def leaves(body, seq):
+        rows = r.where(F.col(body).isNotNull()).select("session_id", seq.alias("seq"), F.col(body).alias("body"))
+        return nested.leaf_values(rows, ["session_id", "seq"], "body").where("value is not null").distinct()
 
-    a, b = fields("response_body", F.col("seq")), fields("request_body", F.col("seq") - 1)
-    return a.drop("kv").join(b.drop("kv"), ["session_id", "seq", "same"]).groupBy("session_id", "seq").agg(F.count("*").alias("n_shared"))
+    a, b = leaves("response_body", F.col("seq")), leaves("request_body", F.col("seq") - 1)
+    return a.join(b, ["session_id", "seq", "path", "value"]).groupBy("session_id", "seq").agg(F.count("*").alias("n_shared"))
 
 
 @R.query(

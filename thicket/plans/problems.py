@@ -198,14 +198,14 @@ FROM (SELECT id AS row_id, {_items(column, blanks)} AS v FROM {name} WHERE {colu
 _P2 = " UNION ALL ".join(_split_sql(*x) for x in (("chunks", "annotations", True), ("chunks", "parameters", False), ("api_endpoints", "table_names", True)))
 
 # SQL of problem 5: one level after the other
-_OPENED = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') AND json_type({0} ->> '$') IN ('OBJECT', 'ARRAY') THEN ({0} ->> '$')::JSON ELSE {0} END"
+OPENED = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') AND json_type({0} ->> '$') IN ('OBJECT', 'ARRAY') THEN ({0} ->> '$')::JSON ELSE {0} END"
 _P5 = f"""
 r AS (SELECT session_id, received_at, unnest(request_chain) AS r FROM request_chains),
 b AS (SELECT session_id, received_at, r.seq AS seq, 'request' AS side, r.request_body AS body FROM r UNION ALL SELECT session_id, received_at, r.seq, 'response', r.response_body FROM r),
 t AS (
- SELECT session_id, received_at, seq, side, '$' AS path, '$' AS owner_path, false AS element, {_OPENED.format("body::JSON")} AS v FROM b WHERE json_valid(body)
+ SELECT session_id, received_at, seq, side, '$' AS path, '$' AS owner_path, false AS element, {OPENED.format("body::JSON")} AS v FROM b WHERE json_valid(body)
  UNION ALL
- SELECT session_id, received_at, seq, side, x.path, x.owner, x.element, {_OPENED.format("x.v")} FROM (
+ SELECT session_id, received_at, seq, side, x.path, x.owner, x.element, {OPENED.format("x.v")} FROM (
   SELECT session_id, received_at, seq, side, unnest(CASE json_type(v)
     WHEN 'OBJECT' THEN list_transform(map_entries(v::MAP(VARCHAR, JSON)), lambda e: {{'path': path || '.' || e.key, 'owner': CASE WHEN element THEN path ELSE owner_path END, 'element': false, 'v': e.value}})
     ELSE list_transform(v::JSON[], lambda c, i: {{'path': path || '[' || (i - 1) || ']', 'owner': owner_path, 'element': true, 'v': c}}) END) AS x
@@ -237,7 +237,7 @@ FROM all_refs GROUP BY ALL""",
 FROM (SELECT DISTINCT l_orderkey, n_name || ', ' || r_name AS place FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)""",
     "p5_found": f"WITH RECURSIVE {_P5} SELECT DISTINCT session_id, seq, side, path, owner_path FROM found",
     "p5_fields": f"""WITH RECURSIVE {_P5}, m AS (SELECT side, CASE WHEN element THEN path ELSE owner_path END AS o, path AS p, unnest(map_entries(v::MAP(VARCHAR, JSON))) AS e FROM t WHERE json_type(v) = 'OBJECT'),
-n AS (SELECT side, o, p, e.key AS name, {_OPENED.format("e.value")} AS v FROM m)
+n AS (SELECT side, o, p, e.key AS name, {OPENED.format("e.value")} AS v FROM m)
 SELECT side, regexp_replace(o, '\\[[0-9]+\\]', '[]', 'g') AS table_path, regexp_replace(p, '\\[[0-9]+\\]', '[]', 'g') AS object_path, name, count(*) AS n_values, count(*) FILTER (WHERE v IS NULL OR json_type(v) = 'NULL') AS n_null
 FROM n WHERE v IS NULL OR json_type(v) NOT IN ('OBJECT', 'ARRAY') GROUP BY 1, 2, 3, 4""",
     "p5_tables": f"""WITH RECURSIVE {_P5} SELECT side, regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS table_path, count(*) AS n_rows, count(*) FILTER (WHERE owner_path = '$') AS n_top,

@@ -304,7 +304,7 @@ def f11(spark, d):
 @R.query(
     "F14_business_constants",
     r"""SELECT value, count(*) AS n FROM method_return_const WHERE length(value) > 2 AND length(value) <= 100 AND NOT regexp_full_match(value, '-?\d+(\.\d+)?') AND NOT contains(value, '{}')
- AND NOT regexp_matches(lower(value), '^(call |response|debug\b|info\b|warn\b|error\b|trace\b)') AND NOT regexp_full_match(value, '[\W\s_]+')
+ AND NOT regexp_matches(lower(value), '^(call |response|调用|debug\b|info\b|warn\b|error\b|trace\b)') AND NOT regexp_full_match(value, '[\W\s_]+')
  AND (regexp_full_match(value, '[A-Z]\w+\.[A-Z][A-Z0-9_]+') OR regexp_matches(value, '^(http://|https://|/api/)') OR (contains(value, ':') AND NOT contains(value, ' ') AND length(value) >= 4)
  OR (regexp_full_match(value, '[a-zA-Z][a-zA-Z0-9_]*') AND length(value) <= 40) OR regexp_matches(value, '[一-鿿]') OR regexp_matches(lower(value), 'is empty|not found|invalid|error|failed')) GROUP BY 1""",
 )

@@ -23,26 +23,13 @@ def _hits(col: str, words, weight: int) -> str:
     return " + ".join(f"CASE WHEN contains(lower({col}), '{w}') THEN {weight} ELSE 0 END" for w in words)
 
 
-def _endpoints_found(spark, d, k):
-    fields = [(F.col("url_path"), 10, 1), (sig.simple_class(F.col("class_name")), 5, 1), (sig.method_name(F.col("full_method")), 5, 1)]
-    return search.best(table(spark, d, "api_endpoints"), search.keyword_score(["order", "list"], fields), k, "id").select("id", "score")
-
-
 @R.query(
     "R01_endpoint_search",
-    f"SELECT id, score FROM (SELECT id, {_hits('url_path', ['order', 'list'], 10)} + {_hits(_LAST, ['order', 'list'], 5)} + {_hits(METHOD, ['order', 'list'], 5)} AS score FROM api_endpoints) WHERE score > 0 ORDER BY score DESC, id LIMIT 30",
-)
-def r01(spark, d):
-    """The first 30 rows of R01_endpoint_search_all."""
-    return _endpoints_found(spark, d, 30)
-
-
-@R.query(
-    "R01_endpoint_search_all",
     f"SELECT id, score FROM (SELECT id, {_hits('url_path', ['order', 'list'], 10)} + {_hits(_LAST, ['order', 'list'], 5)} + {_hits(METHOD, ['order', 'list'], 5)} AS score FROM api_endpoints) WHERE score > 0 ORDER BY score DESC, id",
 )
-def r01_all(spark, d):
-    return _endpoints_found(spark, d, None)
+def r01(spark, d):
+    fields = [(F.col("url_path"), 10, 1), (sig.simple_class(F.col("class_name")), 5, 1), (sig.method_name(F.col("full_method")), 5, 1)]
+    return search.best(table(spark, d, "api_endpoints"), search.keyword_score(["order", "list"], fields), None, "id").select("id", "score")
 
 
 @R.query(
@@ -58,25 +45,7 @@ def r02(spark, d):
     return search.best(pool, search.keyword_score(["ticket", "sync", "x"], fields), 50, "id").select("id", "score")
 
 
-_COS = """WITH q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1),
-s AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 9) AS similarity FROM embeddings, q)"""
-
-
-def _query_vector(spark, d):
-    return table(spark, d, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
-
-
-@R.query("R03_O03_vector_top_k", f"{_COS} SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 20")
-def r03(spark, d):
-    return search.nearest(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 20, "vec_id").select("vec_id", "similarity")
-
-
-@R.query("R04_vector_top_k_per_group", f"{_COS} SELECT vec_id, label, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rk FROM s) WHERE rk <= 5")
-def r04(spark, d):
-    return search.nearest(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 5, "vec_id", "label").select("vec_id", "label", "similarity")
-
-
-_COS_ALL = """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+_COS = """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 9) AS similarity FROM embeddings, q)"""
 
 
@@ -87,13 +56,13 @@ def _nearest_of_all(spark, d, k, per=None):
     return search.nearest_batch(e, "embedding", q, "query_id", "qv", k, "vec_id", per)
 
 
-@R.query("R03_O03_vector_top_k_batch", f"{_COS_ALL} SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20")
-def r03_batch(spark, d):
+@R.query("R03_O03_vector_top_k", f"{_COS} SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20")
+def r03(spark, d):
     return _nearest_of_all(spark, d, 20)
 
 
-@R.query("R04_vector_top_k_per_group_batch", f"{_COS_ALL} SELECT query_id, vec_id, label, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, vec_id) <= 5")
-def r04_batch(spark, d):
+@R.query("R04_vector_top_k_per_group", f"{_COS} SELECT query_id, vec_id, label, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, vec_id) <= 5")
+def r04(spark, d):
     return _nearest_of_all(spark, d, 5, "label")
 
 
