@@ -204,6 +204,58 @@ def test_fill_level():
     assert mixing.fill_level([1, 1], [2, 3], 10) == math.inf
 
 
+def test_mix_of_equal_rows_is_spread_and_whole(spark):
+    """Rows that nothing but their place tells apart, over several range partitions."""
+    docs = spark.createDataFrame([(None, "a", 7)] * 3000 + [(1, "b", 3)] * 1000, "doc_id long, source string, n_tokens int")
+    few, mixing.RANGE_ROWS = mixing.RANGE_ROWS, 500
+    try:
+        m = mixing.Mix(docs, spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 2)], "source string, target_weight double, max_repeats int"), budget=20_000)
+        rows = m.queue().orderBy("upto_tokens").collect()
+    finally:
+        mixing.RANGE_ROWS = few
+    assert [r.upto_tokens for r in rows] == list(np.cumsum([r.n_tokens for r in rows]))
+    assert [r.finish_time for r in rows] == sorted(r.finish_time for r in rows) and 19_990 < rows[-1].upto_tokens <= 20_000
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_no_two_containers_fit_into_one(rule):
+    """Under limits that bind, alone and together."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 60, 400)
+    cap, docs, budget = 100, 4, 3_000
+    at = packing.best_fit(sizes, cap, docs, budget, rule=rule)
+    bins = [(sizes[at == b].sum(), (at == b).sum(), (sizes[at == b] ** 2).sum()) for b in range(at.max() + 1)]
+    assert all(t <= cap and n <= docs and (c <= budget or n == 1) for t, n, c in bins)
+    assert any(n == docs for _, n, _ in bins) and any(c > 0.98 * budget for _, _, c in bins)
+    assert not any(a[0] + b[0] <= cap and a[1] + b[1] <= docs and a[2] + b[2] <= budget for i, a in enumerate(bins) for b in bins[:i])
+
+
+def test_blocks_are_bounded_whatever_the_rows(spark):
+    """Ten texts of very many pieces, and very many rows of one null id and one size."""
+    long = packing.pack(spark.createDataFrame([(i, 3_000) for i in range(10)], "doc_id long, n_tokens int"), capacity=1, block=2_000)
+    same = packing.pack(spark.createDataFrame([(None, 5)] * 8_000, "doc_id long, n_tokens int"), capacity=10, block=1_000)
+    for packed, n, most in ((long, 30_000, 2_300), (same, 8_000, 1_150)):
+        sizes = [r["count"] for r in packed.groupBy("block").count().collect()]
+        assert sum(sizes) == n and max(sizes) < most
+
+
+def test_weak_labels_alone_teach(spark):
+    """Addresses, headings and scope notes, without any label by hand."""
+    rng, docs, truth = random.Random(2), [], {}
+    scope = {"law": "courts and verdicts", "sport": "coach and league", "travel": "hotel and flights"}
+    heads = {"law": "courts", "sport": "league", "travel": "hotel"}
+    for i in range(300):
+        s = rng.choice(sorted(WORDS))
+        words = [rng.choice(PLAIN.split()) for _ in range(40)] + [rng.choice(WORDS[s].split()) for _ in range(16)]
+        rng.shuffle(words)
+        docs.append((i, (f"GET /v1/{heads[s]}/list\n" if i % 3 == 0 else f"# {heads[s]} page\n" if i % 3 == 1 else "") + " ".join(words)))
+        truth[i] = s
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, subject string, labeller string")
+    got = subjects.classify(d, none, spark.createDataFrame(sorted(scope.items()), "subject string, scope_note string")).collect()
+    assert sum(truth[r.doc_id] == r.subject for r in got) >= 0.95 * len(got) and len({r.doc_id for r in got}) >= 280
+
+
 # --- subjects ----------------------------------------------------------------------------
 
 WORDS = {"law": "court verdict statute appeal clause", "sport": "match coach league goal relay", "travel": "hotel flight visa ferry luggage"}

@@ -3,10 +3,13 @@
 A container holds at most ``capacity`` tokens, ``max_documents`` pieces and an
 attention cost (sum of squared lengths) of at most ``attention_budget``. Texts
 longer than the capacity are cut into full containers and one remainder;
-nothing else is cut. Pieces are dealt by hash into blocks of a bounded number
-of pieces, and each block is packed on its own in descending length, every
-piece into the open container that its weighted score prefers among those where it fits under
-every constraint. A block leaves at most a few containers partly filled among
+nothing else is cut. The sizes are written to the shared folder with a serial
+number, so that counting pieces and dealing them needs no second tokenizing and
+no executor's loss deals a piece twice. Pieces are dealt by the hash of their
+serial number into blocks of some ``BLOCK`` pieces, whatever their ids, and
+each block is packed on its own in descending length, every piece into the open
+container that its weighted score prefers among those where it fits under every
+constraint. A block leaves at most a few containers partly filled among
 thousands, so the loss by dividing the work does not grow with the data.
 """
 
@@ -18,9 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from thicket.session import stored
+
 CAPACITY = 2048
 MAX_DOCUMENTS = 256
 BLOCK = 20_000
+#: Blocks that a task packs where there are more than tasks.
+BLOCKS_A_TASK = 16
 #: Weights of the residuals of tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.05, 0.05)
 PACKED = (
@@ -91,7 +98,6 @@ def pack(
     attention_budget: int | None = None,
     rule: str = "norm",
     block: int = BLOCK,
-    n_items: int | None = None,
 ) -> DataFrame:
     """Place every item of ``items`` (doc_id long, n_tokens) in containers: see ``PACKED``.
 
@@ -100,29 +106,31 @@ def pack(
     container, ``piece`` counts an item's parts from 0, and
     ``start_token``..``start_token + n_tokens`` is the part's place in its text.
     ``attention_budget`` defaults to capacity squared, the cost of one full
-    container. ``n_items`` spares the action that counts ``items`` to choose
-    the number of blocks.
+    container, which nothing that fits by tokens exceeds; give less to bind it.
+    Writes the sizes to the shared folder and counts their pieces.
     """
-    if capacity < 1 or max_documents < 1:
-        raise ValueError("capacity and max_documents must be at least 1")
+    if capacity < 1 or max_documents < 1 or block < 1:
+        raise ValueError("capacity, max_documents and block must be at least 1")
     budget = capacity * capacity if attention_budget is None else attention_budget
-    blocks = max(1, ceil((items.count() if n_items is None else n_items) / block))
     n = F.col("n_tokens").cast("long")
+    sized = items.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("doc_tokens"), F.monotonically_increasing_id().alias("serial"))
+    sized = stored(sized.where("doc_tokens > 0").withColumn("n_pieces", F.ceil(F.col("doc_tokens") / capacity).cast("int")))
+    blocks = max(1, ceil((sized.agg(F.sum("n_pieces")).first()[0] or 0) / block))
     pieces = (
-        items.where(F.col("n_tokens") > 0)
-        .select("doc_id", n.alias("doc_tokens"), F.ceil(n / capacity).cast("int").alias("n_pieces"))
-        .select("doc_id", "doc_tokens", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
+        sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
         .withColumn("start_token", F.col("piece").cast("long") * capacity)
         .withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("doc_tokens") - F.col("start_token")).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "doc_tokens"), F.lit(blocks)))
+        .withColumn("block", F.pmod(F.xxhash64("serial", "piece"), F.lit(blocks)))
     )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["serial", "piece"], kind="stable", ignore_index=True)
         pdf["container"] = best_fit(pdf["n_tokens"].to_numpy("int64"), capacity, max_documents, budget, rule=rule)
         return pdf[["block", "container", "doc_id", "piece", "n_pieces", "start_token", "n_tokens", "doc_tokens"]]
 
-    return pieces.groupBy("block").applyInPandas(place, PACKED)
+    # a given number keeps adaptive execution from putting small blocks into one task
+    tasks = min(blocks, max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(blocks / BLOCKS_A_TASK)))
+    return pieces.repartition(tasks, "block").groupBy("block").applyInPandas(place, PACKED)
 
 
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
