@@ -24,17 +24,17 @@ def stream(spark: SparkSession, base: str, name: str) -> DataFrame:
 def finish(result: DataFrame, mode: str, partitions: int | None = None) -> DataFrame:
     """Run a streaming result to the end of its input and give its rows.
 
-    In ``complete`` mode the rows of the last batch stand, in ``append`` mode those of all.
+    In ``complete`` mode the rows of the last batch stand, in ``append`` mode those of all. A batch that is run again replaces its own rows.
     """
     spark = result.sparkSession
     out, state = _shared(spark, "stream"), _shared(spark, "state")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/__batch={number}")
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+    return spark.read.schema(result.schema).parquet(out).select(*result.columns)
 
 
 def tumbling(spark: SparkSession, base: str, name: str, at: str, key: str, value: str, width: str) -> DataFrame:
