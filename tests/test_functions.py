@@ -158,3 +158,5 @@ def test_search_scores(spark):
     repos = spark.createDataFrame([("fleet-hub", "订单服务"), ("other", "x")], "name string, text string")
     assert [r.name for r in search.route(repos, "订单 in fleet", "name", "text").collect()] == ["fleet-hub"]
     assert search.route(repos, "nothing", "name", "text").count() == 2
+    assert search.route(repos, "订单 in fleet", "name", "text", whole=2).count() == 2
+    assert search.route(repos, "订单 in fleet", "name", "text", whole=1).count() == 1

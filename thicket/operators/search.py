@@ -107,8 +107,8 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def route(repos: DataFrame, question: str, name: str, text: str, few: int = 5) -> DataFrame:
-    """The ``few`` repositories that a question is most about, by words and CJK pairs in their text and by name; all if none."""
+def route(repos: DataFrame, question: str, name: str, text: str, few: int = 5, whole: int = 0) -> DataFrame:
+    """The ``few`` repositories that a question is most about, by words and CJK pairs in their text and by name; all if none, or if there are no more than ``whole``."""
     import re
 
     words = sorted({w.lower() for w in re.findall(r"[A-Za-z0-9]{2,}", question)})
@@ -118,5 +118,7 @@ def route(repos: DataFrame, question: str, name: str, text: str, few: int = 5) -
     score = keyword_score(words, [(F.col(text), 3, 2), (F.col(name), 20, 2)])
     score = reduce(Column.__add__, [F.when(F.contains(t, F.lit(p)), 5).otherwise(0) for p in pairs], score)
     scored = repos.withColumn("score", F.coalesce(score, F.lit(0)))
+    if whole and repos.limit(whole + 1).count() <= whole:
+        return scored
     top = scored.where("score > 0").orderBy(F.desc("score"), name).limit(few)
     return top if not top.isEmpty() else scored

@@ -20,15 +20,17 @@ def resolve(calls: DataFrame, endpoints: DataFrame, methods: DataFrame, segments
     call is used up even if that is the caller's own); 2: the only repository that
     holds the method; 3: the repository that dominates its package. Calls nobody answers are left out.
     """
-    ep = endpoints.where("full_method is not null").select(F.col("full_method").alias("callee"), F.col("repo_id").alias("to_repo"), "endpoint_type").distinct()
-    first = calls.join(ep, "callee").withColumn("level", F.lit(1))
-    rest = calls.join(ep, "callee", "left_anti")
+    ep = endpoints.where("full_method is not null").select(F.col("full_method").alias("callee"), F.col("repo_id").alias("e"), "endpoint_type").distinct()
     owner = methods.groupBy(F.col("full_method").alias("callee")).agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b")).where("a = b")
-    px = dominant_prefix(methods, segments)
-    rest = rest.join(owner.select("callee", "a"), "callee", "left").withColumn("prefix", sig.first_segments(sig.class_name(F.col("callee")), segments))
-    rest = rest.join(px.withColumnRenamed("to_repo", "p"), "prefix", "left")
-    other = rest.select("repo_id", "callee", "n", F.coalesce("a", "p").alias("to_repo"), F.when(F.col("a").isNotNull(), 2).otherwise(3).alias("level"))
-    both = first.unionByName(other, allowMissingColumns=True)
+    px = dominant_prefix(methods, segments).withColumnRenamed("to_repo", "p")
+    # each level once, for all calls
+    known = calls.join(ep.withColumn("met", F.lit(True)), "callee", "left").join(owner.select("callee", "a"), "callee", "left")
+    known = known.withColumn("prefix", sig.first_segments(sig.class_name(F.col("callee")), segments)).join(px, "prefix", "left")
+    met = F.col("met").isNotNull()
+    both = known.select(
+        "repo_id", "callee", "n", F.when(met, F.col("e")).otherwise(F.coalesce("a", "p")).alias("to_repo"), "endpoint_type",
+        F.when(met, 1).when(F.col("a").isNotNull(), 2).otherwise(3).alias("level"),
+    )
     return both.where(F.col("to_repo").isNotNull() & (F.col("to_repo") != F.col("repo_id")))
 
 

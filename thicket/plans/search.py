@@ -71,7 +71,7 @@ def r04(spark, d):
     f"SELECT id, score FROM (SELECT id, name, {_hits('git_url', ['fleet', 'git', 'hub'], 3)} + {_hits('name', ['fleet', 'git', 'hub'], 20)} AS score FROM repositories) WHERE score > 0 ORDER BY score DESC, name LIMIT 5",
 )
 def r05(spark, d):
-    return search.route(table(spark, d, "repositories"), "Which fleet hub keeps its git?".replace("Which ", "").replace(" keeps its", ""), "name", "git_url").select("id", "score")
+    return search.route(table(spark, d, "repositories"), "Which fleet hub keeps its git?".replace("Which ", "").replace(" keeps its", ""), "name", "git_url", whole=5).select("id", "score")
 
 
 @R.query("R06_bigrams", "SELECT id, len(list_distinct(list_transform(generate_series(1, length(name) - 1), lambda i: substr(name, i, 2)))) AS n_bigrams FROM repositories WHERE length(name) >= 2")

@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: set[str] = set()
+#: Folders that this process made, with the settings of their file system.
+_made: dict[str, object] = {}
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="thicket-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", made)
-    _clean_later(made)
+    _clean_later(spark, made)
     return made
 
 
@@ -61,28 +62,26 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     home = f"{shared_folder(spark).rstrip('/')}/thicket-{spark.sparkContext.applicationId}"
-    _clean_later(home)
+    _clean_later(spark, home)
     at = f"{home}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def _clean_later(folder: str) -> None:
+def _clean_later(spark: SparkSession, folder: str) -> None:
     if not _made:
         atexit.register(clean)
-    _made.add(folder)
+    _made.setdefault(folder, spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def clean() -> None:
     """Delete the folders that this process made; results that read them can't be used any more."""
     from pyspark import SparkContext
 
-    gateway = SparkContext._gateway
     while _made:
-        folder = _made.pop()
+        folder, conf = _made.popitem()
         try:
-            jvm = gateway.jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+            path = SparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
         except Exception:  # the JVM may be gone already
             pass
