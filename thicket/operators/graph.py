@@ -179,16 +179,15 @@ def propagate(steps: DataFrame, own: DataFrame, hops: int) -> DataFrame:
 
 def ancestors(inheritance: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(child, ancestor, distance): the inheritance closure with least distances, up to ``max_depth`` (none: all of it); cycles end."""
-    level = cut_lineage(inheritance.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("distance", F.lit(1)))
-    seen, distance = level, 1
-    while max_depth is None or distance < max_depth:
-        distance += 1
-        up = inheritance.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-        new = level.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
-        level = cut_lineage(new.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+    seen = inheritance.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("distance", F.lit(1))
+    seen, before = cut_lineage(seen), None
+    # each round joins what is known with itself, so that the distances known double
+    while (now := seen.agg(F.count("*"), F.sum("distance")).first()) != before:
+        up = seen.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
+        far = seen.join(up, "ancestor").select("child", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        if max_depth is not None:
+            far = far.where(F.col("distance") <= max_depth)
+        seen, before = cut_lineage(seen.unionByName(far).groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))), now
     return seen
 
 
