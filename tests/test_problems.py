@@ -177,6 +177,25 @@ def test_every_set_of_classes_is_tried():
         packed._AT_ONCE = at_once
 
 
+def test_parses_are_weighed_by_sets_of_classes(spark):
+    """The cheapest parse is that of the least sum over all classes; sets of classes are looked up, and values and parses meet in one shuffle."""
+    rnd, classes = random.Random(3), range(len(packed.CLASSES))
+    bits = {(i, c, how): 9 * rnd.random() for i in range(2) for c in classes for how in packed.PRIOR}
+    free, loose, rows = [1.5, 2.0], [3.0, 1.0], []
+    for n in range(200):
+        div = [rnd.getrandbits(len(classes)) for _ in range(4)]
+        rows.append((n % 2, [(i, d, rnd.getrandbits(len(classes)) & ~d, 20 * rnd.random(), float(rnd.randint(0, 3)), rnd.randint(0, 2)) for i, d in enumerate(div)]))
+    weighed = spark.createDataFrame(rows, "field int, parses array<struct<parse int, div int, text int, bits double, free double, loose int>>")
+    won = weighed.select("field", "parses", packed._winner(bits, free, loose, 2).alias("w"))
+    for r in won.collect():
+        own = {how: [bits[r.field, c, how] for c in classes] for how in packed.PRIOR}
+        cost = {p.parse: p.bits + p.free * free[r.field] + p.loose * loose[r.field] + sum(own[how][c] for how in own for c in classes if p[how] >> c & 1) for p in r.parses}
+        assert r.w.parse == min(cost, key=cost.get) and r.w.bits == pytest.approx(min(cost.values()), abs=1e-5)
+    assert "getbit" not in won._jdf.queryExecution().optimizedPlan().toString()
+    plan = packed.weights(spark.createDataFrame([], packed._PARSED), {}, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(k1") == 1, plan
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab.( )<>\"'x", min_size=0, max_size=8), max_size=6), st.sampled_from([",", ";", " | ", "\n"]))
 def test_first_parse_keeps_quoted_values(values, between):

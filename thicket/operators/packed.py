@@ -60,10 +60,20 @@ DELIMITERS = {
 BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉"}
 QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’"}
 _CLOSERS = {c: o for o, c in BRACKETS.items()}
-_SPECIAL = re.compile("[" + re.escape("".join({*DELIMITERS, *BRACKETS, *_CLOSERS, *QUOTES})) + "]")
 #: What a dialect decides on: each class of delimiters, and quotes.
 CLASSES = [*dict.fromkeys(DELIMITERS.values()), "quote"]
 _BIT = {c: 1 << i for i, c in enumerate(CLASSES)}
+_QUOTE = _BIT["quote"]
+_DELIMITER_BIT = {x: _BIT[c] for x, c in DELIMITERS.items()}
+
+
+def _any_of(*chars: str) -> re.Pattern:
+    return re.compile("[" + re.escape("".join(chars)) + "]")
+
+
+#: The characters that a scan stops at, by whether blanks divide.
+_SPECIAL = {blanks: _any_of(*(x for x, c in DELIMITERS.items() if blanks or c != "blank"), *BRACKETS, *_CLOSERS, *QUOTES) for blanks in (True, False)}
+_ANY_QUOTE = _any_of(*QUOTES)
 #: Ways to write a quote inside quotes.
 DOUBLED, BACKSLASH, UNQUOTED = "doubled", "backslash", "unquoted"
 
@@ -87,19 +97,23 @@ def _closing(text: str, at: int, mode: str) -> int:
     return -1
 
 
-def scan(text: str, mode: str) -> tuple[list[tuple[int, str]], list[tuple[int, int]], list[tuple[int, int]], int]:
-    """Top-level (position, delimiter class), spans in brackets, spans in quotes, and the number of quotes without a partner.
+def scan(text: str, mode: str, blanks_divide: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]], int]:
+    """Top-level (position, bit of the delimiter class), spans in brackets, spans in quotes, and the number of quotes without a partner.
 
     Brackets and quotes without a partner are text, as are apostrophes within a word.
     """
     plain: set[int] = set()
     while True:
         found, brackets, quotes, loose, stack, pos = [], [], [], 0, [], 0
-        for m in _SPECIAL.finditer(text):
-            at, ch = m.start(), m.group()
+        for m in _SPECIAL[blanks_divide].finditer(text):
+            at = m.start()
             if at < pos:  # inside quotes
                 continue
-            if ch in QUOTES:
+            ch = text[at]
+            if ch in _DELIMITER_BIT:
+                if not stack:
+                    found.append((at, _DELIMITER_BIT[ch]))
+            elif ch in QUOTES:
                 inside = ch == "'" and at and text[at - 1].isalnum()
                 end = -1 if mode == UNQUOTED or inside else _closing(text, at, mode)
                 if end < 0:
@@ -111,13 +125,10 @@ def scan(text: str, mode: str) -> tuple[list[tuple[int, str]], list[tuple[int, i
             elif ch in BRACKETS:
                 if at not in plain:
                     stack.append(at)
-            elif ch in _CLOSERS:
-                if stack and BRACKETS[text[stack[-1]]] == ch:
-                    start = stack.pop()
-                    if not stack:
-                        brackets.append((start, at))
-            elif not stack:
-                found.append((at, DELIMITERS[ch]))
+            elif stack and BRACKETS[text[stack[-1]]] == ch:
+                start = stack.pop()
+                if not stack:
+                    brackets.append((start, at))
         if not stack:
             return found, brackets, quotes, loose
         plain.add(stack[0])
@@ -134,36 +145,49 @@ class _Scanned:
     """A field under one way of quoting, ready to be divided."""
 
     def __init__(self, body: str, mode: str, blanks_divide: bool):
-        found, brackets, quotes, loose = scan(body, mode)
+        found, brackets, quotes, loose = scan(body, mode, blanks_divide)
         if len(brackets) == 1 and brackets[0] == (0, len(body) - 1):
             body = body[1:-1]
-            found, brackets, quotes, loose = scan(body, mode)
-        self.part, self.mode, self.quotes, self.loose = body, mode, quotes, loose
-        self.found = found if blanks_divide else [x for x in found if x[1] != "blank"]
-        self.classes = list(dict.fromkeys(c for _, c in self.found))
+            found, brackets, quotes, loose = scan(body, mode, blanks_divide)
+        self.part, self.mode, self.quotes, self.loose, self.found = body, mode, quotes, loose, found
+        self.classes = list(dict.fromkeys(c for _, c in found))
+        self.all = sum(self.classes)
+        self.bare = body == body.strip()
 
-    def divide(self, chosen: set[str]) -> tuple[list[str], list[int], int, int, int]:
+    def divide(self, chosen: int) -> tuple[list[str], list[int], int, int, int]:
         """Values, how many delimiters each holds as text, the quotes left as text, and the classes that divide and that are text as bits."""
-        part, quotes = self.part, self.quotes
-        cuts = [p for p, c in self.found if c in chosen]
-        strict = bool(quotes) or len(cuts) < len(self.found)  # else nothing can be left as text
-        items, free, loose, at, near, a = [], [], self.loose, 0, 0, 0
-        div, text = sum(_BIT[c] for c in chosen), 0
-        n_found, n_quotes = len(self.found), len(quotes)
+        part, quotes, loose, found = self.part, self.quotes, self.loose, self.found
+        if not quotes and chosen == self.all:  # nothing is left as text
+            items, a = [], 0
+            for p, _ in found:
+                if item := part[a:p].strip():
+                    items.append(item)
+                a = p + 1
+            if item := part[a:].strip():
+                items.append(item)
+            items = self._unquoted(items)
+            text = _QUOTE if loose else 0
+            return items, [0] * len(items), loose, chosen & ~text, text
+        if not quotes and not chosen and self.bare:  # everything is
+            items = self._unquoted([part])
+            return items, [len(found)] * len(items), loose, 0, self.all | _QUOTE if loose else self.all
+        cuts = [p for p, c in found if c & chosen]
+        items, free, at, near, a, div, text = [], [], 0, 0, 0, chosen, 0
+        n_found, n_quotes = len(found), len(quotes)
         for b in (*cuts, len(part)):
             item, n = part[a:b].strip(), 0
-            if item and strict:
+            if item:
                 start = part.index(item[0], a)
                 end = start + len(item)
-                while at < n_found and self.found[at][0] < end:
-                    p, c = self.found[at]
-                    if p >= start and c not in chosen:
-                        text |= _BIT[c]
+                while at < n_found and found[at][0] < end:
+                    p, c = found[at]
+                    if p >= start and not c & chosen:
+                        text |= c
                         n += 1
                     at += 1
                 while near < n_quotes and quotes[near][1] < end:  # quotes are to enclose a value
                     if quotes[near] == (start, end - 1):
-                        div |= _BIT["quote"]
+                        div |= _QUOTE
                     else:
                         loose += 2
                     near += 1
@@ -174,9 +198,14 @@ class _Scanned:
                 items.append(item)
                 free.append(n)
         if loose:
-            text |= _BIT["quote"]
+            text |= _QUOTE
         return items, free, loose, div & ~text, text
 
+    def _unquoted(self, items: list[str]) -> list[str]:
+        if self.mode == UNQUOTED or not any(x[0] in QUOTES for x in items):
+            return items
+        return [x for x in (_unquote(x, self.mode) if x[0] in QUOTES else x for x in items) if x]
+
 
 #: Classes in a text up to which its parses are kept at once; beyond, they are made a second time.
 _AT_ONCE = 5
@@ -192,18 +221,20 @@ def parses(text: str, blanks_divide: bool) -> Iterator[tuple[int, int, list[str]
     if not (body := text.strip()):
         yield 0, 0, [], [], 0, 0, 0, 1
         return
-    if not _SPECIAL.search(body):
+    if not _SPECIAL[True].search(body):
         yield 0, 0, [body], [0], 0, 0, 0, 1
         return
-    modes = [DOUBLED] + [BACKSLASH] * ("\\" in body) + [UNQUOTED] * any(q in body for q in QUOTES)
+    modes = [DOUBLED] + [BACKSLASH] * ("\\" in body) + [UNQUOTED] * bool(_ANY_QUOTE.search(body))
     best: dict[object, tuple] = {}
-    for mode in modes:
+    for n_mode, mode in enumerate(modes):
         s = _Scanned(body, mode, blanks_divide)
         many = len(s.classes) > _AT_ONCE
-        for bits in range(2 ** len(s.classes)):
-            chosen = {c for b, c in enumerate(s.classes) if bits >> b & 1}
+        sets = [0]
+        for c in s.classes:
+            sets += [x | c for x in sets]
+        for bits, chosen in enumerate(sets):
             items, free, loose, div, left = s.divide(chosen)
-            cost = (left.bit_count(), div.bit_count(), modes.index(mode), bits)
+            cost = (left.bit_count(), div.bit_count(), n_mode, bits)
             key = hashlib.md5("\0".join(items).encode("utf-8", "surrogatepass")).digest() if many else tuple(items)
             if key not in best or cost < best[key][0]:
                 best[key] = (cost, s, chosen, None if many else (items, free, loose, div, left))
@@ -218,29 +249,35 @@ _BATCH_CHARS = 4_000_000
 
 
 def _parser(blanks: Sequence[bool]):
-    kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 7, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 7]
     names = [x.split()[0] for x in _PARSED.split(", ")]
 
+    def lists(ends: list[int], values: list, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(values, kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in names]
-        chars = 0
+        rows, all_items, all_free, all_fresh, chars = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
-            for o in out:
-                o.clear()
-            return made
+            cols = [*zip(*rows)] or [()] * (len(kinds) + 2)
+            made = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            made += [lists(cols[-2], all_items, pa.string()), lists(cols[-2], all_free, pa.int32()), lists(cols[-1], all_fresh, pa.string())]
+            for x in (rows, all_items, all_free, all_fresh):
+                x.clear()
+            return pa.RecordBatch.from_arrays(made, names=names)
 
         for batch in batches:
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             for field, k1, k2, text in zip(*(cols[c] for c in ("field", "k1", "k2", "text"))):
-                seen: set[str] = set()
+                seen: dict[str, None] = {}
                 for i, (_, bits, items, free, loose, div, left, n) in enumerate(parses(text, blanks[field])):
                     if items or n > 1:
-                        fresh = [*dict.fromkeys(x for x in items if x not in seen)]
-                        seen.update(fresh)
-                        for o, v in zip(out, (field, k1, k2, i, n, div, left, bits, loose, items, free, fresh)):
-                            o.append(v)
+                        all_items += items
+                        all_free += free
+                        all_fresh += [x for x in dict.fromkeys(items) if x not in seen] if seen else dict.fromkeys(items)
+                        if i + 1 < n:
+                            seen |= dict.fromkeys(items)
+                        rows.append((field, k1, k2, i, n, div, left, bits, loose, len(all_items), len(all_fresh)))
                         chars += len(text) + 50
                         if chars > _BATCH_CHARS:
                             yield flush()
@@ -309,6 +346,7 @@ def weights(parsed: DataFrame, places: dict[int, int], n_fields: int) -> DataFra
     known = (F.col("n") > 1) & (named <= new)
     return (
         several.join(counts, "v", "left")
+        .repartition("k1", "k2", "field")  # one shuffle for both groupings
         .groupBy(*own)
         .agg(F.coalesce(F.sum(F.when(known, named).otherwise(new)), F.lit(0.0)).alias("values"), F.coalesce(F.sum(F.when(known, F.col("free") / F.col("n")).otherwise(F.col("free"))), F.lit(0.0)).alias("free"))
         .groupBy("k1", "k2", "field")
@@ -316,17 +354,27 @@ def weights(parsed: DataFrame, places: dict[int, int], n_fields: int) -> DataFra
     )
 
 
-def _winner(bits: dict[tuple[int, int, str], float], free: list[float], loose: list[float], n_fields: int) -> Column:
-    """The cheapest of ``parses`` with the bits of (field, class, how), of free delimiters and of loose quotes; ties go to the first parse."""
+def _sums(bits: dict[tuple[int, int, str], float], how: str, classes: range, n_fields: int) -> Column:
+    """Per field, the bits of every set of ``classes``, at the set's place."""
+    each = [[bits[i, c, how] for c in classes] for i in range(n_fields)]
+    sums = [[sum(x for b, x in enumerate(own) if chosen >> b & 1) for chosen in range(2 ** len(classes))] for own in each]
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in own) + ")" for own in sums) + ")")
+
+
+#: Classes whose sets are looked up at once.
+_AT_A_TIME = 6
 
-    def table(how: str) -> Column:
-        per = [F.array(*[F.lit(bits[i, c, how]) for c in range(len(CLASSES))]) for i in range(n_fields)]
-        return F.element_at(F.array(*per), F.col("field") + 1)
 
-    div, text, delimiter, quote = table("div"), table("text"), _per_field(free), _per_field(loose)
+def _winner(bits: dict[tuple[int, int, str], float], free: list[float], loose: list[float], n_fields: int) -> Column:
+    """The cheapest of ``parses`` with the bits of (field, class, how), of free delimiters and of loose quotes; ties go to the first parse.
+
+    Sets of classes are looked up, as the rounds weigh every parse anew.
+    """
+    parts = [(how, at, _sums(bits, how, range(at, min(at + _AT_A_TIME, len(CLASSES))), n_fields)) for how in PRIOR for at in range(0, len(CLASSES), _AT_A_TIME)]
+    delimiter, quote = _per_field(free), _per_field(loose)
 
     def whole(p: Column) -> Column:
-        own = [F.getbit(p[how], F.lit(c)).cast("double") * t[c] for how, t in (("div", div), ("text", text)) for c in range(len(CLASSES))]
+        own = [F.get(F.get(sums, F.col("field")), F.shiftright(p[how], at).bitwiseAND(F.lit(2**_AT_A_TIME - 1))) for how, at, sums in parts]
         cost = reduce(Column.__add__, own, p["bits"] + p["free"] * delimiter + p["loose"] * quote)
         return F.struct(F.round(cost, 6).alias("bits"), p["parse"].alias("parse"), p["div"].alias("div"), p["text"].alias("text"))
 
@@ -351,11 +399,12 @@ def cheapest(parsed: DataFrame, n_fields: int) -> DataFrame:
 
     costs, before = learned({}), None
     for _ in range(ROUNDS):
-        won = weighed.select("field", _winner(*costs, n_fields).alias("w"))
-        told = [F.when(F.getbit(F.col(f"w.{how}"), F.lit(c)) == 1, F.struct(F.lit(c).alias("c"), F.lit(how).alias("how"))) for how in PRIOR for c in range(len(CLASSES))]
-        rows = won.select("field", F.explode(F.array_compact(F.array(*told))).alias("t")).groupBy("field", "t.c", "t.how").count().collect()
+        won = weighed.select("field", _winner(*costs, n_fields).alias("w")).groupBy("field", "w.div", "w.text").agg(F.count(F.lit(1)).alias("n"))
+        told = [F.when(F.getbit(F.col(how), F.lit(c)) == 1, F.struct(F.lit(c).alias("c"), F.lit(how).alias("how"))) for how in PRIOR for c in range(len(CLASSES))]
+        rows = won.select("field", "n", F.explode(F.array_compact(F.array(*told))).alias("t")).groupBy("field", "t.c", "t.how").agg(F.sum("n").alias("count")).collect()
         now = {(r["field"], r["c"], r["how"]): r["count"] for r in rows}
         if now == before:
             break
         costs, before = learned(now), now
-    return weighed.select("k1", "k2", _winner(*costs, n_fields)["parse"].alias("parse"))
+    parse = F.coalesce(_winner(*costs, n_fields)["parse"], F.lit(0))  # never null; else joins would weigh a second time to find out
+    return weighed.select("k1", "k2", parse.alias("parse"))
